@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import media, packing
+from ledgerloom.llm import media, packing, simhash
 from ledgerloom.llm.common import table
 
 
@@ -30,9 +30,14 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5_tiff(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op8_simhash(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op5_tiff": op5_tiff,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
