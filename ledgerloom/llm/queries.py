@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import media, packing, simhash, topk
+from ledgerloom.llm import bpe, langid, media, packing, simhash, topk
 from ledgerloom.llm.common import table
 
 
@@ -26,10 +26,18 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1_pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"), _split_pattern())
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3_bpe(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5_tiff(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op6_langid(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_bpe": op3_bpe,
     "op5_tiff": op5_tiff,
+    "op6_langid": op6_langid,
     "op8_simhash": op8_simhash,
     "op10_topk": op10_topk,
 }
