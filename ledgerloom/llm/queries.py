@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, media, packing, simhash, topk
+from ledgerloom.llm import bpe, html_text, langid, media, packing, simhash, topk
 from ledgerloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op6_langid(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op7_html(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_tiff": op5_tiff,
     "op6_langid": op6_langid,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op10_topk": op10_topk,
 }
