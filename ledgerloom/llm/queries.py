@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, html_text, langid, media, packing, simhash, topk
+from ledgerloom.llm import bpe, html_text, langid, media, packing, pii, simhash, topk
 from ledgerloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op9_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10_topk(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
 
