@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import bloom
 from ledgerloom.llm.common import DBL, INT, LONG, STR, BIN, durable, map_rows, struct
 
-WINDOW, SUPPORT, GENERALISE, REMOVE, BLOOM_BITS, COUNTED = 8, 3, 0.8, 0.95, 23, 200_000
+WINDOW, SUPPORT, GENERALISE, REMOVE, COUNTED = 8, 3, 0.8, 0.95, 200_000
 # The patterns of the base kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -128,39 +129,6 @@ def text_key(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def _bits(h):
-    """Three places of the filter from one hash."""
-    mask = (1 << BLOOM_BITS) - 1
-    return h & mask, (h >> BLOOM_BITS - 3) & mask, (h >> 64 - BLOOM_BITS) & mask
-
-
-def bloom(terms: DataFrame):
-    """A Bloom filter of the column term: 2**BLOOM_BITS bits, whatever the number of terms, as a broadcast."""
-    h, mask = F.xxhash64("term"), F.lit((1 << BLOOM_BITS) - 1)
-    places = F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, BLOOM_BITS - 3).bitwiseAND(mask), F.shiftrightunsigned(h, 64 - BLOOM_BITS).bitwiseAND(mask))
-    words = terms.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b"))
-    bits = np.zeros(1 << BLOOM_BITS - 5, np.int64)
-    for w, b in words.toLocalIterator():
-        bits[w] = b
-    return terms.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
-
-
-def passing(bits: np.ndarray):
-    """word -> whether the filter may hold it; answers are remembered for a bounded number of words."""
-    known: dict[str, bool] = {}
-
-    def may(word: str) -> bool:
-        got = known.get(word)
-        if got is None:
-            if len(known) >= COUNTED:
-                known.clear()
-            h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-            got = known[word] = all(int(bits[p >> 5]) >> (p & 31) & 1 for p in _bits(h))
-        return got
-
-    return may
-
-
 def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """term, disclosure, kind (that of its entity) of the terms to generalise or remove."""
     total = marks.count()
@@ -171,10 +139,10 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
         return docs.sparkSession.createDataFrame([], struct(term=STR, disclosure=DBL, kind=STR))
     pairs = each.join(often, "entity").select("row", "entity", "context", "n_e", F.explode("terms").alias("term"))
     both = durable(pairs.groupBy("entity", "n_e", "term").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("context").alias("n_contexts")).where(F.col("n_contexts") >= support).drop("n_contexts"))
-    sent = bloom(both.select("term"))
+    sent = bloom.build(both, "term")
 
     def count(it):
-        may, found = passing(sent.value), Counter()
+        may, found = bloom.tester(sent.value), Counter()
         for (text,) in it:
             found.update({w for w in {m.lower() for m in WORD.findall(text or "")} if may(w)})
             if len(found) > COUNTED:
@@ -192,10 +160,10 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """key of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
-    sent = bloom(terms)
+    sent = bloom.build(terms, "term")
 
     def rows(it):
-        may = passing(sent.value)
+        may = bloom.tester(sent.value)
         for (text,) in it:
             text = text or ""
             if not any(may(w) for w in {m.lower() for m in WORD.findall(text)}):

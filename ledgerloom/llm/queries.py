@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, html_text, langid, media, packing, pii, simhash, topk
+from ledgerloom.llm import bpe, html_text, langid, media, packing, pii, simhash, substring, topk
 from ledgerloom.llm.common import table
 
 
@@ -22,8 +22,16 @@ def _split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.op1_pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"), _split_pattern())
+
+
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.op1_pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"), _split_pattern())
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op2_substring(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +64,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op5_tiff": op5_tiff,
     "op6_langid": op6_langid,

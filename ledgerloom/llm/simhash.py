@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import bloom
 from ledgerloom.llm.common import LONG, durable, map_rows, shuffle_width, struct
 from ledgerloom.llm.graph import components
 
@@ -247,6 +248,37 @@ def near_duplicates(docs: DataFrame, keep: list[str], radius: int = RADIUS) -> t
     return marked, components(links(distinct, radius))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class: that of least doc_id, of several such rows any one; a class without doc_ids keeps one row too.
+
+    Decisions are made on hashes of doc_id and text; rows that stay for certain, being in no Bloom filter of the others,
+    are passed on where they lie."""
+    rid = _free("row_hash", docs.columns)
+    hashed = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    marked = durable(fingerprints(hashed, ["doc_id", rid]).withColumnRenamed(rid, "rid"))
+    per_row = marked.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n"))
+    linked = components(links(marked.select("fp").distinct()))
+    # each fingerprint's first row, then each class's; nulls last
+    order = lambda fp: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *fp, "rid")
+    first = marked.groupBy("fp").agg(F.min(order([])).alias("f")).select("fp", "f.*")
+    rooted = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = durable(rooted.groupBy("root").agg(F.min(order(["fp"])).alias("f")).select(F.col("f.fp").alias("fp"), F.col("f.rid").alias("kept")))
+    # rid -> whether it goes, for those that go or occur more than once
+    told = durable(per_row).join(kept, "fp", "left").select("rid", "n", (~F.coalesce(F.col("rid") == F.col("kept"), F.lit(False))).alias("goes"))
+    touched = durable(told.where(F.col("goes") | (F.col("n") > 1)).select(F.col("rid").alias(rid), F.col("goes").alias(_free("row_goes", docs.columns))))
+    sent = bloom.build(touched, rid)
+    goes = touched.columns[1]
+    maybe = bloom.rows_where(hashed, rid, sent).join(touched, rid, "left")
+    once = maybe.where(F.col(goes).isNull()).drop(goes).unionByName(maybe.where(~F.col(goes)).drop(goes).dropDuplicates([rid]))
+    return bloom.rows_where(hashed, rid, sent, inside=False).unionByName(once).drop(rid)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def op8_simhash(docs: DataFrame) -> DataFrame:
     marked, linked = near_duplicates(docs, ["doc_id"])
     # per fingerprint first, so that a hot one is one row before it meets its class
