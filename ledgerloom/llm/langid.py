@@ -2,7 +2,7 @@
 
 The model is fitted with Spark aggregates on a bounded sample of labelled rows, at most ``SAMPLE`` documents, those of
 least hash.  A word seen ``KNOWN`` times or more is scored by its log frequency in each language; any other word by the
-mean log frequency of its n-grams of the greatest length, ``LONGEST`` downwards, of which at least one is known.  The
+mean log frequency of its n-grams of the greatest length, ``LONGEST`` downwards, of which at least one was seen that often.  The
 scores of a text's words add up; the softmax of the sums gives the language and the score.  The tables of the fitted
 model are bounded by the sample and go to the tasks as a broadcast; prediction is one pass without a shuffle.
 
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import DBL, STR, map_rows
+from ledgerloom.llm.common import DBL, STR, durable, map_rows
 
-SAMPLE, KNOWN, LONGEST, FOLDS, MEMO = 4000, 2, 5, 5, 200_000
+SAMPLE, KNOWN, LONGEST, FOLDS, MEMO = 2000, 2, 5, 5, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -42,16 +42,13 @@ def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 def count_tables(sample: DataFrame, known: int = KNOWN, longest: int = LONGEST) -> DataFrame:
     """n (0 for a word), gram, lang, count."""
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("gram")).where("gram <> ''").groupBy("lang", "gram").agg(F.count("*").alias("count"))
+    words = durable(words)
     seen = words.groupBy("gram").agg(F.sum("count").alias("total")).where(F.col("total") >= known)
     edged, size = F.concat(F.lit("<"), "gram", F.lit(">")), F.length("gram") + 2
-    grams = []
-    for n in range(1, longest + 1):
-        parts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(edged, i, F.lit(n)))
-        grams.append(words.where(size >= n).select(F.lit(n).alias("n"), "lang", "count", F.explode(parts).alias("gram")).groupBy("n", "lang", "gram").agg(F.sum("count").alias("count")))
-    out = words.join(seen, "gram", "left_semi").select(F.lit(0).alias("n"), "gram", "lang", "count")
-    for g in grams:
-        out = out.unionByName(g)
-    return out
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), size))
+    grams = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(n.alias("n"), F.substring(edged, i, n).alias("gram")))))
+    parts = words.select("lang", "count", F.explode(grams).alias("g")).groupBy("g.n", "g.gram", "lang").agg(F.sum("count").alias("count")).where(F.col("count") >= known)
+    return words.join(seen, "gram", "left_semi").select(F.lit(0).alias("n"), "gram", "lang", "count").unionByName(parts)
 
 
 class Model:
@@ -63,10 +60,11 @@ class Model:
         self.index: dict[int, dict[str, int]] = {}
         self.table: dict[int, np.ndarray] = {}
         for n, own in counts.groupby("n"):
-            names = sorted(set(own["gram"]))
-            self.index[n] = index = {g: i for i, g in enumerate(names)}
-            table = np.full((len(names), len(self.langs)), 0.5)
-            np.add.at(table, ([index[g] for g in own["gram"]], [place[x] for x in own["lang"]]), own["count"].to_numpy())
+            index: dict[str, int] = {}
+            rows = [index.setdefault(g, len(index)) for g in own["gram"]]
+            self.index[n] = index
+            table = np.full((len(index), len(self.langs)), 0.5)
+            np.add.at(table, (rows, [place[x] for x in own["lang"]]), own["count"].to_numpy())
             self.table[n] = np.log(table / table.sum(axis=0))
 
     def unseen(self, word: str) -> np.ndarray:
