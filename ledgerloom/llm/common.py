@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -74,3 +75,25 @@ def _tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             yield from zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True)
+
+
+def whole_keys(batches, keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about so many rows from batches sorted by the keys, never cut within a key."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, rows
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= limit:
+            t = pa.Table.from_batches(held).combine_chunks()
+            differs = np.zeros(t.num_rows, bool)
+            for k in keys:
+                c = t[k].to_numpy()
+                differs |= c != c[-1]
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            if cut:
+                yield t.slice(0, cut)
+            held, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+            limit = max(rows, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()

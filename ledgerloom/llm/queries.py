@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, html_text, langid, media, packing, pii, simhash, substring, topk
+from ledgerloom.llm import bpe, html_text, langid, license, media, packing, pii, simhash, substring, topk
 from ledgerloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3_bpe(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.op4_license(table(spark, sf_dir, "documents"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5_tiff(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
+    "op4_license": op4_license,
     "op5_tiff": op5_tiff,
     "op6_langid": op6_langid,
     "op7_html": op7_html,
@@ -74,7 +79,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
+_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(license.TEMPLATES.items()))
+_CUED = " OR ".join(f"contains(lower(unit), '{c}')" for c in license.CUES)
+
 ORACLES: dict[str, str] = {
+    "op4_license": f"""
+        WITH notices(license, notice) AS (VALUES {_NOTICES}), files AS (
+            SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, coalesce(text, '') AS text FROM documents
+        ), units AS (
+            SELECT path, unit FROM (SELECT path, unnest(string_split(text, chr(10))) AS unit FROM files) WHERE {_CUED}
+        ), distinct_units AS (SELECT unit, count(*) AS n FROM units GROUP BY unit),
+        terms AS (
+            SELECT unit, n, term, count(*) AS tf FROM (SELECT unit, n, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS term FROM distinct_units)
+            WHERE term <> '' GROUP BY unit, n, term
+        ), df AS (SELECT term, sum(n) AS df FROM terms GROUP BY term),
+        total AS (SELECT coalesce(sum(n), 0) AS total FROM distinct_units),
+        w AS (SELECT unit, term, tf * (ln((1.0::DOUBLE + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total),
+        own AS (
+            SELECT license, term, tf * (ln((1.0::DOUBLE + total) / (1 + coalesce(df, 0))) + 1) AS v
+            FROM (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(string_split_regex(lower(notice), '[^a-z0-9]+')) AS term FROM notices) WHERE term <> '' GROUP BY ALL)
+            LEFT JOIN df USING (term), total
+        ), norms AS (SELECT license, sqrt(sum(v * v)) AS norm FROM own GROUP BY license),
+        lengths AS (SELECT unit, sqrt(sum(w * w)) AS length FROM w GROUP BY unit),
+        scored AS (
+            SELECT unit, license, round(sum(w * v / norm) / any_value(length), 6) AS score
+            FROM w JOIN own USING (term) JOIN norms USING (license) JOIN lengths USING (unit) GROUP BY unit, license
+        ), found AS (
+            SELECT path, license, score FROM units JOIN scored USING (unit) WHERE score >= {license.LEAST}
+            QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
+        )
+        SELECT doc_id, path, license, score, CASE WHEN license IS NULL THEN 'none' ELSE 'header' END AS origin,
+            CASE WHEN license IS NOT NULL THEN path END AS licensed_by
+        FROM files LEFT JOIN found USING (path)
+    """,
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

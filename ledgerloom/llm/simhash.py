@@ -1,14 +1,17 @@
 """Near-duplicate documents by SimHash, compared bit-sliced.
 
-Fingerprints are 64 bits wide and link at ``RADIUS`` differing bits or fewer.  Distinct fingerprints are cut into
-``PARTS`` bit ranges; two within the radius agree in at least PARTS - RADIUS of them, so each fingerprint enters one
-bucket for every choice of that many ranges, and no link is lost.  A bucket's fingerprints lie in memory as 64 bit
-planes.  Comparing all with the member s places on is a shift and an exclusive-or of whole planes; carry-save adders
-count the differing bits of 64 members per machine word, and words all of whose counts exceed the radius are abandoned.
+A fingerprint is one or more words of 64 bits; two link at no more differing bits than the radius.  Fingerprints meet in
+buckets, one for each chosen pair of bit ranges.  With ``EXACT`` (64 bits in 6 ranges, radius 4) two fingerprints within
+the radius agree in two ranges at least, so that no link is lost.  With ``WIDE`` (256 bits of five-word shingles, radius
+50) the bits estimate similarity: texts whose shingles agree by 0.8 differ in 39 bits on average, with a deviation of 6.
 
-Buckets of one fingerprint are dropped before Python.  Larger ones than ``TILE`` are split into pairs of tiles, each a
-group of its own.  A bucket returns a spanning forest of its links, not its pairs; components are then found by
-alternating star contractions on Spark tables, cut by checkpoints.  Copies count once, as the fingerprint is the node.
+A bucket's fingerprints lie in memory as bit planes.  Comparing all members with those some places on is a shift and an
+exclusive-or of whole planes; carry-save adders count the differing bits of 64 members per machine word, and words all
+of whose counts exceed the radius are abandoned.  Members that are linked already aren't compared again.
+
+Larger buckets than ``TILE`` are split into pairs of tiles, each a group of its own.  A bucket returns a spanning forest
+of its links, not its pairs; components are then found by alternating star contractions on Spark tables, cut by
+checkpoints.  Copies count once, as the fingerprint is the node.
 
 Defined cases: a null or wordless text has fingerprint 0; rows with equal texts, also repeated doc_ids, share a
 component; a component's id is its smallest doc_id that is not null, null if it has none; an empty table gives no row.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -28,17 +32,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import LONG, durable, map_rows, shuffle_width, struct
+from ledgerloom.llm.common import LONG, durable, map_rows, shuffle_width, struct, whole_keys
 from ledgerloom.llm.graph import components
 
-SHINGLE, RADIUS, PARTS, TILE, SEED = 4, 4, 6, 2048, 42
+TILE, SEED = 2048, 42
+
+
+@dataclass(frozen=True)
+class Setting:
+    """width: words of a shingle; words: 64-bit words of a fingerprint; parts: bit ranges; tables: the ranges that form each bucket's key."""
+
+    width: int
+    words: int
+    radius: int
+    parts: int
+    tables: tuple[tuple[int, ...], ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"w{i}" for i in range(self.words)]
+
+
+EXACT = Setting(4, 1, 4, 6, tuple(combinations(range(6), 2)))
+#: Each table's key is 16 bits, two of 32 ranges; a pair of similarity 0.8 meets in one of the 48 with probability 0.97, of 0.85 with 0.996.
+WIDE = Setting(5, 4, 50, 32, tuple((i, (i + 5) % 32) for i in range(32)) + tuple((i, i + 16) for i in range(16)))
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes counted at a time.
 BLOCK = 1 << 16
 
 
-def shingle_hashes(text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
     """XXH64 of the shingles of a text, in blocks."""
     words = WORDS.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
     if not words:
@@ -54,31 +78,48 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([digest(line[a:b], SEED) for a, b in zip(first[k : k + BLOCK].tolist(), last[k : k + BLOCK].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
-    """A bit is 1 if set in over half the hashes; as a signed 64-bit number."""
-    ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text or ""):
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+def _again(h: np.ndarray, k: int) -> np.ndarray:
+    """Further bits of the same shingles: the hashes, mixed for the k-th word of the fingerprint."""
+    if not k:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: str | None, setting: Setting = EXACT) -> tuple[int, ...]:
+    """A bit is 1 if set in over half the hashes; signed 64-bit words."""
+    ones, n = np.zeros((setting.words, 64), np.int64), 0
+    for h in shingle_hashes(text or "", setting.width):
+        for k in range(setting.words):
+            ones[k] += np.unpackbits(_again(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
-    return int(np.packbits(ones * 2 > n).view(">i8")[0]) if n else 0
+    return tuple(np.packbits(ones * 2 > n, axis=1).view(">i8")[:, 0].tolist()) if n else (0,) * setting.words
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and ``fp``, a long."""
+def fingerprints(docs: DataFrame, keep: list[str], setting: Setting = EXACT) -> DataFrame:
+    """The kept columns, the words of the fingerprint and ``fp``, a long that stands for it (the only word, or a hash)."""
 
     def rows(it):
         for text, *kept in it:
-            yield (*kept, fingerprint(text))
+            yield (*kept, *fingerprint(text, setting))
+
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, LONG) for c in setting.columns])
+    return map_rows(docs.select("text", *keep), rows, schema).withColumn("fp", _node(setting.columns))
 
-    return map_rows(docs.select("text", *keep), rows, T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", LONG)]))
+
+def _node(columns: list[str]) -> F.Column:
+    return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits, one for each bit of the fingerprints; little-endian words of 64 members."""
+    """A row of packed bits for each bit of the fingerprints (members x words); little-endian words of 64 members."""
     n = -(-len(fps) // 64) * 64
-    padded = np.zeros(n, np.uint64)
+    padded = np.zeros((n, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
@@ -94,45 +135,42 @@ def shifted(planes: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def close_words(a: np.ndarray, b: np.ndarray, alive: np.ndarray, radius: int) -> np.ndarray:
+def close_words(a: np.ndarray, b: np.ndarray, alive: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
     """Bits set where two members, one from each set of planes, differ in at most radius bits.
 
-    alive: bits of the members that count.  Counters hold 0 to 7 with saturation, as carry-save digits."""
-    if radius > 6:
-        raise ValueError("the counters hold up to 6")
+    alive: bits of the members that count.  The counts are held as carry-save digits, one word of bits for each digit;
+    what a count loses past its last digit is remembered as being over."""
     out = np.zeros_like(alive)
     at = np.flatnonzero(alive)
-    live = alive[at]
-    one, two, four = np.zeros_like(live), np.zeros_like(live), np.zeros_like(live)
-    over = np.zeros_like(live)
-    for k in range(0, 64, 8):
-        for p in range(k, k + 8):
-            x = a[p, at] ^ b[p, at]
-            carry, one = one & x, one ^ x
-            carry, two = two & carry, two ^ carry
-            over |= four & carry
-            four ^= carry
-        beyond = over | _above(one, two, four, radius)
-        live = live & ~beyond
-        over |= beyond
+    live, over = alive[at], np.zeros(len(at), np.uint64)
+    digits = [np.zeros(len(at), np.uint64) for _ in range(radius.bit_length())]
+    for k in range(0, len(a), step):
+        for p in range(k, min(k + step, len(a))):
+            carry = a[p, at] ^ b[p, at]
+            for j, digit in enumerate(digits):
+                carry, digits[j] = digit & carry, digit ^ carry
+            over |= carry
+        over |= _above(digits, radius)
+        live = live & ~over
         keep = live != 0
         if not keep.all():
-            at, live, one, two, four, over = at[keep], live[keep], one[keep], two[keep], four[keep], over[keep]
+            at, live, over = at[keep], live[keep], over[keep]
+            digits = [d[keep] for d in digits]
             if not len(at):
                 return out
     out[at] = live
     return out
 
 
-def _above(one, two, four, radius: int):
-    """Bits whose three-digit count exceeds the radius."""
-    over, equal = np.zeros_like(one), ~np.zeros_like(one)
-    for digit, set_ in ((four, radius & 4), (two, radius & 2), (one, radius & 1)):
-        if set_:
-            equal = equal & digit
+def _above(digits: list[np.ndarray], radius: int) -> np.ndarray:
+    """Bits whose count exceeds the radius."""
+    over, equal = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+    for j in reversed(range(len(digits))):
+        if radius >> j & 1:
+            equal = equal & digits[j]
         else:
-            over = over | (equal & digit)
-            equal = equal & ~digit
+            over = over | (equal & digits[j])
+            equal = equal & ~digits[j]
     return over
 
 
@@ -155,8 +193,8 @@ class Forest:
         return True
 
 
-def links_of(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links of members with equal keys; rows are sorted by key.  sides 1 and 2 compare only with each other, 0 with all."""
+def links_of(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning links, as places of two rows, of fingerprints (rows x words) with equal keys, by which the rows are sorted.  sides 1 and 2 compare only with each other, 0 with all."""
     n, found, forest = len(fps), [], Forest(len(fps))
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -179,85 +217,60 @@ def links_of(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int =
         close = close_words(planes[:, :w], near, alive, radius)
         joined = [(i, i + shift) for i in np.flatnonzero(np.unpackbits(close.view(np.uint8), bitorder="little")).tolist() if forest.join(i, i + shift)]
         if joined:
-            found += [(int(fps[i]), int(fps[j])) for i, j in joined]
+            found += [(int(idx[i]), int(idx[j])) for i, j in joined]
             seen, at = np.unique(group[:m], return_inverse=True)
             group[:m] = np.array([forest.root(i) for i in seen.tolist()])[at]
     return found
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
-    """fps: distinct longs ``fp``.  Spanning links a, b of those within the radius."""
-    edges = [round(k * 64 / parts) for k in range(parts + 1)]
-    part = [F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    chosen = list(combinations(range(parts), parts - radius))
-    bucket = lambda t, c: F.xxhash64(F.lit(t), *(part[p] for p in c))
+def links(fps: DataFrame, setting: Setting = EXACT, tile: int = TILE) -> DataFrame:
+    """fps: distinct fingerprints.  Spanning links a, b, as their fp, of those within the radius."""
+    columns, bits = setting.columns, 64 * setting.words
+    edges = [round(k * bits / setting.parts) for k in range(setting.parts + 1)]
+
+    def part(k: int) -> F.Column:
+        word, lo = divmod(edges[k], 64)
+        hi = edges[k + 1] - 64 * word
+        return F.shiftrightunsigned(F.shiftleft(columns[word], 64 - hi), 64 - hi + lo)
+
     # the key is a hash: two buckets that share one are compared together, which costs time but no result
-    rows = fps.select("fp", F.explode(F.array(*(bucket(t, c) for t, c in enumerate(chosen)))).alias("bucket"))
-    sizes = durable(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    shared = rows.join(sizes, "bucket")
-    # a large bucket becomes tiles i <= j; a member of tile k enters (k, j) and (i, k)
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = shared.withColumn("tiles", tiles).withColumn("own", own).select("bucket", "fp", "own", each.alias("other"))
-    cells = tiled.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp",
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-    )
-    schema = struct(a=LONG, b=LONG)
+    keys = F.array(*(F.xxhash64(F.lit(t), *map(part, ranges)) for t, ranges in enumerate(setting.tables)))
+    rows = fps.select(*columns, F.explode(keys).alias("bucket"))
+    hot = durable(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile))
+    cells = rows.withColumns({"cell": F.col("bucket"), "side": F.lit(0)})
+    if not hot.isEmpty():
+        sent = bloom.build(hot, "bucket")
+        # a large bucket becomes tiles i <= j; a member of tile k enters (k, j) and (i, k)
+        large = bloom.rows_where(rows, "bucket", sent).join(hot, "bucket", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int"))
+        own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
+        tiled = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        tiled = tiled.withColumns({"cell": F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")), "side": side})
+        cells = bloom.rows_where(rows, "bucket", sent, inside=False).withColumns({"cell": F.col("bucket"), "side": F.lit(0)}).select("cell", "side", *columns).unionByName(tiled.select("cell", "side", *columns))
+    ends = [f"{end}{c}" for end in "ab" for c in columns]
 
     def run(batches):
-        # whole cells only: rows come sorted by cell, and the last cell of what is held waits for more
-        held: list[pa.RecordBatch] = []
-        rows_held = 0
-        for batch in batches:
-            held.append(batch)
-            rows_held += batch.num_rows
-            if rows_held >= 1 << 17:
-                rest, done = _cut(held)
-                yield from done
-                held, rows_held = ([rest], rest.num_rows) if rest is not None else ([], 0)
-        if held:
-            yield from _forest(*_columns(held))
-
-    def _columns(held):
-        t = pa.Table.from_batches(held)
-        return t["cell"].to_numpy(), t["fp"].to_numpy(), t["side"].to_numpy()
-
-    def _cut(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        cell = t["cell"].to_numpy()
-        last = int(np.searchsorted(cell, cell[-1], side="left"))
-        rest = t.slice(last).combine_chunks().to_batches()[0]
-        head = t.slice(0, last)
-        return rest, _forest(head["cell"].to_numpy(), head["fp"].to_numpy(), head["side"].to_numpy()) if last else []
-
-    def _forest(cell, fp, side):
-        found = links_of(cell, fp.view(np.uint64), side, radius)
-        if found:
-            a = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-    return cells.repartition(shuffle_width(fps.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
-
-
-def near_duplicates(docs: DataFrame, keep: list[str], radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Rows of the kept columns with fp, and for each fp its class: fp, root."""
-    marked = durable(fingerprints(docs, keep))
-    distinct = marked.select("fp").distinct()
-    return marked, components(links(distinct, radius))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
+        for t in whole_keys(batches, ["cell"], 1 << 17):
+            fp = np.stack([t[c].to_numpy().view(np.uint64) for c in columns], axis=1)
+            found = np.array(links_of(t["cell"].to_numpy(), fp, t["side"].to_numpy(), setting.radius), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, e], w].view(np.int64)) for e in (0, 1) for w in range(setting.words)], names=ends)
+
+    dealt = cells.select("cell", "side", *columns).repartition(shuffle_width(fps.sparkSession), "cell").sortWithinPartitions("cell")
+    found = dealt.mapInArrow(run, struct(**dict.fromkeys(ends, LONG)))
+    return found.select(_node([f"a{c}" for c in columns]).alias("a"), _node([f"b{c}" for c in columns]).alias("b"))
+
+
+def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
     """One row of each class: that of least doc_id, of several such rows any one; a class without doc_ids keeps one row too.
 
     Decisions are made on hashes of doc_id and text; rows that stay for certain, being in no Bloom filter of the others,
     are passed on where they lie."""
     rid = _free("row_hash", docs.columns)
     hashed = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
-    marked = durable(fingerprints(hashed, ["doc_id", rid]).withColumnRenamed(rid, "rid"))
+    marked = durable(fingerprints(hashed, ["doc_id", rid], setting).withColumnRenamed(rid, "rid"))
     per_row = marked.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n"))
-    linked = components(links(marked.select("fp").distinct()))
+    linked = components(links(marked.select(*setting.columns).distinct(), setting))
     # each fingerprint's first row, then each class's; nulls last
     order = lambda fp: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *fp, "rid")
     first = marked.groupBy("fp").agg(F.min(order([])).alias("f")).select("fp", "f.*")
@@ -280,7 +293,8 @@ def _free(name: str, taken: list[str]) -> str:
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
-    marked, linked = near_duplicates(docs, ["doc_id"])
+    marked = durable(fingerprints(docs, ["doc_id"]))
+    linked = components(links(marked.select(*EXACT.columns).distinct()))
     # per fingerprint first, so that a hot one is one row before it meets its class
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
