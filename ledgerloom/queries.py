@@ -355,11 +355,10 @@ def best_candidate(t):
     return joins.best_candidate(pairs, ["o_orderkey"], F.abs(F.col("o_totalprice") - F.col("l_extendedprice")), ["l_linenumber", "l_partkey", "l_suppkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
-@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND starts_with(l_returnflag, left(o_orderstatus, 1)) AND o_totalprice >= l_extendedprice")
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND ends_with(o_orderstatus, l_linestatus) AND o_totalprice >= l_extendedprice")
 def rule_dsl(t):
-    orders = t("orders").withColumn("flag", F.substring("o_orderstatus", 1, 1))
-    rule = rules.Rule.from_dict({"name": "flags", "conditions": [{"left": "o_orderkey", "op": "eq", "right": "l_orderkey"}, {"left": "o_totalprice", "op": "gte", "right": "l_extendedprice"}, {"left": "flag", "op": "endswith", "right": "l_returnflag"}]})
-    return rules.match_rule(orders, t("lineitem"), rule).select("o_orderkey", "l_linenumber")
+    rule = rules.Rule.from_dict({"name": "flags", "conditions": [{"left": "o_orderkey", "op": "eq", "right": "l_orderkey"}, {"left": "o_totalprice", "op": "gte", "right": "l_extendedprice"}, {"left": "o_orderstatus", "op": "endswith", "right": "l_linestatus"}]})
+    return rules.match_rule(t("orders"), t("lineitem"), rule).select("o_orderkey", "l_linenumber")
 
 
 @query("SELECT c_name, replace(replace(lower(trim(' ' || c_name || ' ')), '#', '#'), '-', '_') AS field FROM (SELECT replace(c_name, ' ', '_') AS c_name FROM customer)")

@@ -1,0 +1,80 @@
+import pytest
+
+from ledgerloom.sources.filters import FilterCondition as C
+from ledgerloom.sources.filters import apply_filters, chip_conditions, format_number, to_sql_where
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return spark.createDataFrame([(1, "10", 10.0, "Alpha"), (2, "9", 9.0, "beta"), (3, None, None, None), (4, "", 5.5, "ALPHA_x")], "id int, t string, n double, s string")
+
+
+def ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+@pytest.mark.parametrize("condition,sql,csv", [
+    (("t", "eq", "10"), [1], [1]), (("t", "neq", "10"), [2, 4], [2, 3, 4]), (("n", "eq", 5.5), [4], [4]), (("n", "gt", 9), [1], [2]),
+    (("t", "gt", "10"), [2], [2]), (("t", "gte", "10"), [1, 2], [1, 2]), (("t", "lt", "2"), [1, 4], [1, 3, 4]), (("t", "lte", "10"), [1, 4], [1, 3, 4]),
+    (("t", "between", ["1", "5"]), [1], [1]), (("t", "in", ["9", "10"]), [1, 2], [1, 2]), (("t", "in", []), [], []),
+    (("s", "like", "alpha%"), [], [1, 4]), (("s", "like", "%A\\_x"), [4], []), (("s", "like", "_lpha"), [1], [1]),
+    (("t", "between", ["1"]), [1, 2, 4], [1, 2, 3, 4]), (("t", "like", 5), [1, 2, 4], [1, 2, 3, 4]), (("t", "gt", ["x"]), [1, 2, 4], [1, 2, 3, 4]), (("t", "in", "9"), [1, 2, 4], [1, 2, 3, 4]),
+])
+def test_dialects(rows, condition, sql, csv):
+    if condition != ("n", "gt", 9):  # as text, 9.0 > 9 and 10.0 < 9
+        assert ids(apply_filters(rows, [C(*condition)], "csv")) == csv
+    assert ids(apply_filters(rows, [C(*condition)], "sql")) == sql
+
+
+def test_conjunction_and_unknown_columns(rows):
+    both = [C("t", "gte", "1"), C("s", "eq", "Alpha")]
+    assert ids(apply_filters(rows, both)) == [1]
+    assert ids(apply_filters(rows, [])) == [1, 2, 3, 4]
+    assert ids(apply_filters(rows, [C("gone", "eq", "1"), *both], "csv")) == [1]
+    with pytest.raises(Exception, match="gone"):
+        apply_filters(rows, [C("gone", "eq", "1")]).collect()
+
+
+def test_filters_reach_the_scan(spark, sf_dir):
+    df = apply_filters(spark.read.parquet(f"{sf_dir}/orders.parquet"), [C("o_orderkey", "gt", 5), C("o_orderstatus", "in", ["F"])]).select("o_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_orderkey,5)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+@pytest.mark.parametrize("value", [True, None, [1, 2], {"a": 1}, ["a", None]])
+def test_values_that_are_no_filter_values(value):
+    with pytest.raises(ValueError):
+        C("x", "eq", value)
+
+
+def test_unknown_operator():
+    with pytest.raises(ValueError):
+        C("x", "near", "1")
+
+
+@pytest.mark.parametrize("condition,text", [
+    (("status", "eq", "it's"), """ WHERE "status" = 'it''s'"""), (("a", "neq", 3.0), ' WHERE "a" != 3'), (("a", "gte", 2.5), ' WHERE "a" >= 2.5'),
+    (("d", "between", ["1", "2"]), """ WHERE "d" BETWEEN '1' AND '2'"""), (("d", "in", ["x", "y"]), """ WHERE "d" IN ('x', 'y')"""), (("d", "in", []), " WHERE FALSE"),
+    (('a"b', "like", "%z%"), """ WHERE "a""b" LIKE '%z%'"""), (("a", "gt", ["z"]), ' WHERE "a" IS NOT NULL'),
+])
+def test_where_text(condition, text):
+    assert to_sql_where([C(*condition)]) == text
+
+
+def test_where_text_of_several():
+    assert to_sql_where([]) == ""
+    assert to_sql_where([C("a", "lt", 1), C("b", "lte", "q")]) == """ WHERE "a" < 1 AND "b" <= 'q'"""
+
+
+def test_number_format():
+    assert [format_number(x) for x in (3.0, -2.0, 2.5, 1e15, 0.1)] == ["3", "-2", "2.5", "1000000000000000", "0.1"]
+
+
+def test_chips():
+    chips = [
+        {"scope": "both", "field_a": "d", "field_b": "pd", "type": "date_range", "value": ["1", "2"]}, {"scope": "left", "field_a": "amount", "type": "amount_range", "value": 5},
+        {"scope": "right", "field_b": "name", "type": "text_match", "value": "acme"}, {"scope": "left", "field_a": "gone", "type": "text_match", "value": "x"},
+        {"scope": "left", "field_a": "d", "type": "other", "value": 1, "op": "eq", "raw_value": "z"}, {"scope": "left", "field_a": "d", "type": "date_range", "value": "1"},
+    ]
+    assert chip_conditions(chips, "left", ["d", "amount"]) == [C("d", "between", ["1", "2"]), C("amount", "gte", 5), C("d", "eq", "z")]
+    assert chip_conditions(chips, "right", ["pd", "name"]) == [C("pd", "between", ["1", "2"]), C("name", "like", "%acme%")]
