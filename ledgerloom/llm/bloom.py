@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import map_batches
+
 BITS, REMEMBERED = 25, 200_000
 
 
@@ -56,4 +58,4 @@ def rows_where(df: DataFrame, column: str, sent, inside: bool = True) -> DataFra
             may = np.array([x is not None and _holds(bits, x.to_bytes(8, "little", signed=True)) for x in batch[column].to_pylist()], bool)
             yield batch.filter(pa.array(may if inside else ~may, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

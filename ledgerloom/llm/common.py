@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: What goes to Python at a time.
+BATCH_BYTES = "4m"
+
 LONG, INT, STR, BIN, DBL, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType(), T.BooleanType()
 
 
@@ -61,16 +65,39 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, type=f.type) for col, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, make_rows, schema: T.StructType) -> DataFrame:
     """mapInArrow over tuples: make_rows turns an iterator of input tuples into an iterator of output tuples."""
     arrow = to_arrow_schema(schema)
 
+    return map_batches(df, lambda batches: arrow_batches(make_rows(_tuples(batches)), arrow), schema)
+
+
+def map_batches(df: DataFrame, make_batches, schema: T.StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES, whatever the length of texts; a task gives back its memory when it ends, as its Python process serves later tasks."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
     def run(batches):
-        return arrow_batches(make_rows(_tuples(batches)), arrow)
+        try:
+            yield from make_batches(batches)
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):

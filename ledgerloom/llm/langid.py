@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import DBL, STR, durable, map_rows
 
-SAMPLE, KNOWN, LONGEST, FOLDS, MEMO = 2000, 2, 5, 5, 200_000
+SAMPLE, KNOWN, LONGEST, FOLDS, MEMO = 2000, 2, 5, 5, 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -78,26 +78,32 @@ class Model:
 
     def predictor(self):
         """text -> (language, score).  What unseen words score is remembered for up to MEMO words, then forgotten."""
-        known, table, memo = self.index.get(0, {}), self.table.get(0), {}
+        known, table = self.index.get(0, {}), self.table.get(0)
+        memo: dict[str, int] = {}
+        scores = np.zeros((MEMO, len(self.langs)))
 
         def predict(text: str | None) -> tuple[str, float]:
             words = WORD.findall((text or "").lower())
             if not self.langs or not any(c.isalpha() for w in words for c in w):
                 return UNKNOWN, 0.0
-            total, rows = np.zeros(len(self.langs)), []
+            total, rows, others = np.zeros(len(self.langs)), [], []
             for w in words:
                 i = known.get(w)
                 if i is not None:
                     rows.append(i)
                     continue
-                got = memo.get(w)
-                if got is None:
+                i = memo.get(w)
+                if i is None:
                     if len(memo) >= MEMO:
+                        total, others = total + scores[others].sum(axis=0), []
                         memo.clear()
-                    got = memo[w] = self.unseen(w)
-                total = total + got
+                    i = memo[w] = len(memo)
+                    scores[i] = self.unseen(w)
+                others.append(i)
             if rows:
                 total = total + table[rows].sum(axis=0)
+            if others:
+                total = total + scores[others].sum(axis=0)
             p = np.exp(total - total.max())
             best = int(np.argmax(p))
             return self.langs[best], float(p[best] / p.sum())

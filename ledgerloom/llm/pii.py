@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import DBL, INT, LONG, STR, BIN, durable, map_rows, struct
+from ledgerloom.llm.common import BIN, DBL, INT, LONG, STR, durable, free_name, map_rows, struct
 
 WINDOW, SUPPORT, GENERALISE, REMOVE, COUNTED = 8, 3, 0.8, 0.95, 200_000
 # The patterns of the base kinds.
@@ -198,9 +198,9 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     some = not terms.isEmpty()
     rows_in = docs
     if some:
-        key = _free("text_key", columns)
+        key = free_name("text_key", columns)
         keyed = map_rows(docs, lambda it: ((*r, text_key(r[text_at] or "")) for r in it), T.StructType([*docs.schema.fields, T.StructField(key, BIN)]))
-        found = durable(term_spans(docs, terms)).select(F.col("key").alias(key), F.col("terms").alias(_free("text_terms", columns)))
+        found = durable(term_spans(docs, terms)).select(F.col("key").alias(key), F.col("terms").alias(free_name("text_terms", columns)))
         rows_in = keyed.join(found, key, "left").drop(key)
 
     def rows(it) -> Iterator[tuple]:
@@ -218,12 +218,6 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     return map_rows(rows_in, rows, docs.schema)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, new in sorted(spans, key=lambda s: (s[0], -s[1])):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import LONG, durable, map_rows, shuffle_width, struct, whole_keys
+from ledgerloom.llm.common import LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
 from ledgerloom.llm.graph import components
 
 TILE, SEED = 2048, 42
@@ -257,7 +257,7 @@ def links(fps: DataFrame, setting: Setting = EXACT, tile: int = TILE) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, e], w].view(np.int64)) for e in (0, 1) for w in range(setting.words)], names=ends)
 
     dealt = cells.select("cell", "side", *columns).repartition(shuffle_width(fps.sparkSession), "cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(run, struct(**dict.fromkeys(ends, LONG)))
+    found = map_batches(dealt, run, struct(**dict.fromkeys(ends, LONG)))
     return found.select(_node([f"a{c}" for c in columns]).alias("a"), _node([f"b{c}" for c in columns]).alias("b"))
 
 
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
 
     Decisions are made on hashes of doc_id and text; rows that stay for certain, being in no Bloom filter of the others,
     are passed on where they lie."""
-    rid = _free("row_hash", docs.columns)
+    rid = free_name("row_hash", docs.columns)
     hashed = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
     marked = durable(fingerprints(hashed, ["doc_id", rid], setting).withColumnRenamed(rid, "rid"))
     per_row = marked.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n"))
@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
     kept = durable(rooted.groupBy("root").agg(F.min(order(["fp"])).alias("f")).select(F.col("f.fp").alias("fp"), F.col("f.rid").alias("kept")))
     # rid -> whether it goes, for those that go or occur more than once
     told = durable(per_row).join(kept, "fp", "left").select("rid", "n", (~F.coalesce(F.col("rid") == F.col("kept"), F.lit(False))).alias("goes"))
-    touched = durable(told.where(F.col("goes") | (F.col("n") > 1)).select(F.col("rid").alias(rid), F.col("goes").alias(_free("row_goes", docs.columns))))
+    touched = durable(told.where(F.col("goes") | (F.col("n") > 1)).select(F.col("rid").alias(rid), F.col("goes").alias(free_name("row_goes", docs.columns))))
     sent = bloom.build(touched, rid)
     goes = touched.columns[1]
     maybe = bloom.rows_where(hashed, rid, sent).join(touched, rid, "left")
@@ -286,12 +286,6 @@ def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
     return bloom.rows_where(hashed, rid, sent, inside=False).unionByName(once).drop(rid)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def op8_simhash(docs: DataFrame) -> DataFrame:
     marked = durable(fingerprints(docs, ["doc_id"]))
     linked = components(links(marked.select(*EXACT.columns).distinct()))
