@@ -1,0 +1,55 @@
+import html
+import re
+
+import pytest
+
+from ledgerloom.llm import html_text, queries
+
+LONG = "This is the story of a long paragraph that has many words and hardly any tags in it. " * 4
+
+
+def test_query_against_the_article_element(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = queries.op7_html(spark, sf_dir).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id].html, re.S)[1]
+        parts = [" ".join(html.unescape(p.replace("<br>", " ")).split()) for p in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article))]
+        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+@pytest.mark.parametrize("page,text", [
+    (None, ""), ("", ""), ("   \n ", ""), ("just text &amp; more", "just text & more"), ("<p>one<p>two", "one\ntwo"), ("<p>a  b\n\tc&nbsp;d</p>", "a b c d"),
+    ("<body><script>var x='<p>no</p>'</script><style>p{}</style><p>yes</p></body>", "yes"), ("<p>caf&eacute; &#233; &#x4e2d; &notanentity;</p>", "café é 中 ¬anentity;"),
+    ("<!-- <p>hidden</p> --><p>x<!-- y --></p>", "x"), ("<p>cut <b>off", "cut off"), ("</div></p><p>stray</p></div>", "stray"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+    ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+])
+def test_small_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", [
+    "<nav><a href=1>Home</a><a href=2>About us</a></nav>", "<header>Site name and slogan</header>", "<footer>&copy; somebody</footer>", "<aside>Read this too</aside>", "<div class='sidebar left'>Links</div>",
+    "<div id=cookie-notice>We use cookies</div>", "<div class='ad'>Buy now</div>", "<form><label>Mail</label><input><button>Send</button></form>", "<section class=comments><p>First! Great article indeed.</p></section>",
+    "<div role=navigation>Menu</div>", "<div style='display: none'>Hidden words</div>", "<p hidden>Hidden words</p>", "<noscript>Enable scripts</noscript>",
+])
+@pytest.mark.parametrize("shell", ["<body>{0}<article><h1>Title</h1><p>{1}</p></article></body>", "<body><article><h1>Title</h1>{0}<p>{1}</p></article></body>", "<body><div class=page>{0}<div class=post><h1>Title</h1><p>{1}</p><p>{1}</p></div></div></body>"])
+def test_boilerplate_goes(part, shell):
+    got = html_text.main_text(shell.format(part, LONG))
+    if not ("<header>" in part and "<article><h1>Title</h1>{0}" in shell):  # an article may have a header of its own
+        assert got.split("\n")[0] == "Title" and set(got.split("\n")[1:]) == {" ".join(LONG.split())}
+
+
+def test_densest_subtree_without_semantic_tags():
+    links = "".join(f"<li><a href={i}>entry number {i}</a></li>" for i in range(20))
+    page = f"<body><div><ul>{links}</ul></div><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert html_text.main_text(page) == "\n".join([" ".join(LONG.split())] * 3)
+
+
+def test_deep_and_long_pages_and_odd_rows(spark):
+    deep = "<div>" * 5000 + "core" + "</div>" * 5000
+    long = "<article>" + "<p>word " * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", deep, "x", 1), (2, None, long, "y", 2), (None, "v", None, None, None), (3, "w", "", "z", 3), (3, "w", "", "z", 3)], "page_id long, url string, html string, text string, n_chars long")
+    rows = sorted(html_text.op7_html(df).collect(), key=lambda r: (r.page_id is None, r.page_id))
+    assert [(r.page_id, r.n_chars) for r in rows] == [(1, 4), (2, 5 * 20_000 - 1), (3, 0), (3, 0), (None, 0)]
+    assert html_text.op7_html(df.limit(0)).count() == 0
