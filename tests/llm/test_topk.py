@@ -41,6 +41,11 @@ def test_few_and_no_rows(spark):
     assert topk.op10_topk(df.limit(0)).count() == 0 and topk.op10_topk(df.limit(1)).count() == 0
 
 
+def test_repeated_rows_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.op10_topk(df).orderBy("rank").collect()] == [(0, 1, 1, 64 * 128), (0, 2, 1, 64 * 128)]
+
+
 def test_search_prunes_by_a_known_score():
     rng = np.random.default_rng(0)
     rows, q = rng.integers(-64, 64, (2000, 4)), rng.integers(-64, 64, (5, 4))
