@@ -159,7 +159,7 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """key of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
+    """key and short (Spark's xxhash64) of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
     sent = bloom.build(terms, "term")
 
     def rows(it):
@@ -169,14 +169,16 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
             if not any(may(w) for w in {m.lower() for m in WORD.findall(text)}):
                 continue
             key, base = text_key(text), [(a, b) for _, a, b in base_spans(text)]
+            short = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+            short -= (short >> 63) << 64
             for m in WORD.finditer(text):
                 if may(m[0].lower()) and not any(m.start() < b and m.end() > a for a, b in base):
-                    yield key, m[0].lower(), m.start(), m.end()
+                    yield key, short, m[0].lower(), m.start(), m.end()
 
-    seen = map_rows(docs.select("text"), rows, struct(key=BIN, term=STR, start=INT, end=INT))
+    seen = map_rows(docs.select("text"), rows, struct(key=BIN, short=LONG, term=STR, start=INT, end=INT))
     # equal texts have equal spans: once for each text, before a key's spans are gathered
     once = seen.dropDuplicates(["key", "start"]).join(terms, "term")
-    return once.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", "kind"))).alias("terms"))
+    return once.groupBy("key", "short").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", "kind"))).alias("terms"))
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:
@@ -195,17 +197,10 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     """docs with base spans replaced by their kind in brackets, and revealing terms generalised or removed; n_chars follows."""
     terms = durable(revealing(docs, durable(marked(docs, []))))
     columns, text_at, chars_at = docs.columns, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    some = not terms.isEmpty()
-    rows_in = docs
-    if some:
-        key = free_name("text_key", columns)
-        keyed = map_rows(docs, lambda it: ((*r, text_key(r[text_at] or "")) for r in it), T.StructType([*docs.schema.fields, T.StructField(key, BIN)]))
-        found = durable(term_spans(docs, terms)).select(F.col("key").alias(key), F.col("terms").alias(free_name("text_terms", columns)))
-        rows_in = keyed.join(found, key, "left").drop(key)
 
     def rows(it) -> Iterator[tuple]:
         for r in it:
-            r, known = (list(r[:-1]), r[-1]) if some else (list(r), None)
+            r, known = list(r[: len(columns)]), r[len(columns)] if len(r) > len(columns) else ()
             text = r[text_at]
             if text is not None:
                 spans = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
@@ -215,7 +210,17 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
                     r[chars_at] = len(r[text_at])
             yield tuple(r)
 
-    return map_rows(rows_in, rows, docs.schema)
+    if terms.isEmpty():
+        return map_rows(docs, rows, docs.schema)
+    # only texts that may hold a revealing term are shuffled to meet their spans
+    key, short, spans_name = (free_name(n, columns) for n in ("text_key", "text_short", "text_terms"))
+    found = durable(term_spans(docs, terms).select(F.col("key").alias(key), F.col("short").alias(short), F.col("terms").alias(spans_name)))
+    hashed, sent = docs.withColumn(short, F.xxhash64("text")), bloom.build(found, short)
+    maybe = bloom.rows_where(hashed, short, sent).drop(short)
+    keyed = map_rows(maybe, lambda it: ((*r, text_key(r[text_at] or "")) for r in it), T.StructType([*docs.schema.fields, T.StructField(key, BIN)]))
+    met = keyed.join(found.drop(short), key, "left").drop(key)
+    others = bloom.rows_where(hashed, short, sent, inside=False).drop(short)
+    return map_rows(met, rows, docs.schema).unionByName(map_rows(others, rows, docs.schema))
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
