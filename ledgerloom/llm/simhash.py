@@ -4,6 +4,8 @@ A fingerprint is one or more words of 64 bits; two link at no more differing bit
 buckets, one for each chosen pair of bit ranges.  With ``EXACT`` (64 bits in 6 ranges, radius 4) two fingerprints within
 the radius agree in two ranges at least, so that no link is lost.  With ``WIDE`` (256 bits of five-word shingles, radius
 50) the bits estimate similarity: texts whose shingles agree by 0.8 differ in 39 bits on average, with a deviation of 6.
+These links are candidates only: near copies are texts whose sets of shingles agree by ``SIMILAR``, which is checked on
+the sets before components are formed.
 
 A bucket's fingerprints lie in memory as bit planes.  Comparing all members with those some places on is a shift and an
 exclusive-or of whole planes; carry-save adders count the differing bits of 64 members per machine word, and words all
@@ -20,7 +22,7 @@ component; a component's id is its smallest doc_id that is not null, null if it
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
+from ledgerloom.llm.common import BIN, LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
 from ledgerloom.llm.graph import components
 
 TILE, SEED = 2048, 42
+#: The least similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
 
 
 @dataclass(frozen=True)
@@ -91,8 +95,12 @@ def _again(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, setting: Setting = EXACT) -> tuple[int, ...]:
     """A bit is 1 if set in over half the hashes; signed 64-bit words."""
+    return _print(shingle_hashes(text or "", setting.width), setting)
+
+
+def _print(blocks: Iterable[np.ndarray], setting: Setting) -> tuple[int, ...]:
     ones, n = np.zeros((setting.words, 64), np.int64), 0
-    for h in shingle_hashes(text or "", setting.width):
+    for h in blocks:
         for k in range(setting.words):
             ones[k] += np.unpackbits(_again(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
@@ -261,6 +269,74 @@ def links(fps: DataFrame, setting: Setting = EXACT, tile: int = TILE) -> DataFra
     return found.select(_node([f"a{c}" for c in columns]).alias("a"), _node([f"b{c}" for c in columns]).alias("b"))
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    blocks = list(shingle_hashes(text or "", width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _set_node(h: np.ndarray) -> int:
+    """A signed long that stands for a set of shingles, 0 for the empty one."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else 0
+
+
+def _set_rows(docs: DataFrame, keep: list[str], setting: Setting) -> DataFrame:
+    """The kept columns, the fingerprint of the set of shingles with its ``fp``, and ``node``, which stands for the set."""
+
+    def rows(it):
+        for text, *kept in it:
+            h = shingle_set(text, setting.width)
+            yield (*kept, *_print([h[k : k + BLOCK] for k in range(0, len(h), BLOCK)], setting), _set_node(h))
+
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, LONG) for c in [*setting.columns, "node"]])
+    return map_rows(docs.select("text", *keep), rows, schema).withColumn("fp", _node(setting.columns))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _print_pairs(marked: DataFrame, setting: Setting) -> DataFrame:
+    """a, b: nodes whose fingerprints link, by spanning links, or are equal."""
+    nodes = durable(marked.select("fp", "node").distinct())
+    least = durable(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    found = links(marked.select(*setting.columns).distinct(), setting)
+    apart = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _ordered(apart.unionByName(nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))))
+
+
+def _sets(hashed: DataFrame, rid: str, marked: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node and its shingles' hashes, as bytes, of the nodes asked for."""
+    owners = durable(marked.groupBy("node").agg(F.min("rid").alias(rid)).join(nodes.distinct(), "node", "left_semi"))
+    texts = bloom.rows_where(hashed.select("text", rid), rid, bloom.build(owners, rid)).join(owners, rid).select("text", "node")
+    read = map_rows(texts, lambda it: ((node, shingle_set(text, width).tobytes()) for text, node in it), struct(node=LONG, shingles=BIN))
+    return durable(read.dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets agree by SIMILAR: 5 |A and B| >= 4 |A or B|."""
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            near = [agree(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return map_batches(met, run, struct(a=LONG, b=LONG))
+
+
+def agree(x: np.ndarray, y: np.ndarray) -> bool:
+    common, (up, down) = len(np.intersect1d(x, y, assume_unique=True)), SIMILAR
+    return common > 0 and (up + down) * common >= up * (len(x) + len(y))
+
+
+def near_sets(hashed: DataFrame, rid: str, marked: DataFrame, setting: Setting) -> DataFrame:
+    """node, root: components of the sets of shingles by links whose sets agree by SIMILAR."""
+    tried = durable(_print_pairs(marked, setting))
+    sets = _sets(hashed, rid, marked, tried.select(F.explode(F.array("a", "b")).alias("node")), setting.width)
+    return components(verified(tried, sets))
+
+
 def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
     """One row of each class: that of least doc_id, of several such rows any one; a class without doc_ids keeps one row too.
 
@@ -268,16 +344,16 @@ def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
     are passed on where they lie."""
     rid = free_name("row_hash", docs.columns)
     hashed = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
-    marked = durable(fingerprints(hashed, ["doc_id", rid], setting).withColumnRenamed(rid, "rid"))
-    per_row = marked.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n"))
-    linked = components(links(marked.select(*setting.columns).distinct(), setting))
-    # each fingerprint's first row, then each class's; nulls last
-    order = lambda fp: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *fp, "rid")
-    first = marked.groupBy("fp").agg(F.min(order([])).alias("f")).select("fp", "f.*")
-    rooted = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = durable(rooted.groupBy("root").agg(F.min(order(["fp"])).alias("f")).select(F.col("f.fp").alias("fp"), F.col("f.rid").alias("kept")))
+    marked = durable(_set_rows(hashed, ["doc_id", rid], setting).withColumnRenamed(rid, "rid"))
+    per_row = marked.groupBy("node", "doc_id", "rid").agg(F.count("*").alias("n"))
+    linked = near_sets(hashed, rid, marked, setting)
+    # each set's first row, then each class's; nulls last
+    order = lambda node: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *node, "rid")
+    first = marked.groupBy("node").agg(F.min(order([])).alias("f")).select("node", "f.*")
+    rooted = first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = durable(rooted.groupBy("root").agg(F.min(order(["node"])).alias("f")).select(F.col("f.node").alias("node"), F.col("f.rid").alias("kept")))
     # rid -> whether it goes, for those that go or occur more than once
-    told = durable(per_row).join(kept, "fp", "left").select("rid", "n", (~F.coalesce(F.col("rid") == F.col("kept"), F.lit(False))).alias("goes"))
+    told = durable(per_row).join(kept, "node", "left").select("rid", "n", (~F.coalesce(F.col("rid") == F.col("kept"), F.lit(False))).alias("goes"))
     touched = durable(told.where(F.col("goes") | (F.col("n") > 1)).select(F.col("rid").alias(rid), F.col("goes").alias(free_name("row_goes", docs.columns))))
     sent = bloom.build(touched, rid)
     goes = touched.columns[1]

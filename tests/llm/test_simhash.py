@@ -112,3 +112,20 @@ def test_one_of_each_class_stays(spark, odd_docs, no_docs):
     texts = {r.text or "" for r in odd_docs.collect()}
     assert len([r for r in odd if r.doc_id == 9]) == 1 and {r.text for r in odd} >= {t for t in texts if t.strip()}
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def similarity(a, b):
+    grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_texts_that_share_one_repeated_line_both_stay(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    line = words(6)
+    rows = [(i, " ".join(words(40) + line * 60 + words(40))) for i in range(4)]
+    apart = words(200)
+    rows += [(10, " ".join(apart)), (11, " ".join(w if k % 34 else f"x{k}" for k, w in enumerate(apart)))]
+    assert similarity(rows[0][1], rows[1][1]) < 0.1 and 0.7 < similarity(rows[4][1], rows[5][1]) < 0.8
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 10, 11]
