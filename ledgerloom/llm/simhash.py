@@ -5,7 +5,8 @@ buckets, one for each chosen pair of bit ranges.  With ``EXACT`` (64 bits in 6 r
 the radius agree in two ranges at least, so that no link is lost.  With ``WIDE`` (256 bits of five-word shingles, radius
 50) the bits estimate similarity: texts whose shingles agree by 0.8 differ in 39 bits on average, with a deviation of 6.
 These links are candidates only: near copies are texts whose sets of shingles agree by ``SIMILAR``, which is checked on
-the sets before components are formed.
+the sets before components are formed.  Near copies whose fingerprints don't link are found without loss by their prefixes:
+of n shingles in one order for all texts, the first n - ceil(0.8 n) + 1 of two texts that agree by 0.8 have one in common.
 
 A bucket's fingerprints lie in memory as bit planes.  Comparing all members with those some places on is a shift and an
 exclusive-or of whole planes; carry-save adders count the differing bits of 64 members per machine word, and words all
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import BIN, LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
+from ledgerloom.llm.common import BIN, INT, LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
 from ledgerloom.llm.graph import components
 
 TILE, SEED = 2048, 42
 #: The least similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Bits of a hash by which its commonness is kept: a table of 1 MB.
+SLOTS = 20
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ class Setting:
 
 
 EXACT = Setting(4, 1, 4, 6, tuple(combinations(range(6), 2)))
-#: Each table's key is 16 bits, two of 32 ranges; a pair of similarity 0.8 meets in one of the 48 with probability 0.97, of 0.85 with 0.996.
+#: Each table's key is 16 bits, two of 32 ranges.  These links are only tried first; what they miss is found by ``_shared``.
 WIDE = Setting(5, 4, 50, 32, tuple((i, (i + 5) % 32) for i in range(32)) + tuple((i, i + 16) for i in range(16)))
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -330,11 +333,93 @@ def agree(x: np.ndarray, y: np.ndarray) -> bool:
     return common > 0 and (up + down) * common >= up * (len(x) + len(y))
 
 
+def _commonness(docs: DataFrame, width: int):
+    """A broadcast of fixed size: by a hash's first bits, how many digits the count of the hashes has that repeat within a batch.
+
+    It only orders the shingles; any order gives the same pairs, one with rare shingles first tries fewer."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, width) for text in batch["text"].to_pylist()]
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((h[n > 1] >> np.uint64(64 - SLOTS)).astype(np.int32)), pa.array(n[n > 1].astype(np.int64))], names=["slot", "n"])
+
+    digits = np.zeros(1 << SLOTS, np.uint8)
+    counted = map_batches(docs.select("text"), run, struct(slot=INT, n=LONG)).groupBy("slot").agg(F.sum("n").alias("n"))
+    for slot, n in counted.toLocalIterator(prefetchPartitions=True):
+        digits[slot] = n.bit_length()
+    return docs.sparkSession.sparkContext.broadcast(digits)
+
+
+def prefix(h: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """The shingles, rarest first, of which two sets that agree by SIMILAR share one: all but what a common part must exceed."""
+    up, down = SIMILAR[0], SIMILAR[1]
+    order = np.lexsort((h, digits[(h >> np.uint64(64 - SLOTS)).astype(np.int64)]))
+    return h[order[: len(h) - -(-up * len(h) // down) + 1]]
+
+
+def _shared(docs: DataFrame, width: int) -> DataFrame:
+    """token, node, n, at: the shingles of each set's prefix that another set's prefix has, the set's size and the shingle's place."""
+    sent, names = _commonness(docs, width), ["token", "node", "n", "at"]
+
+    def run(batches):
+        digits = sent.value
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                h = shingle_set(text, width)
+                if len(h):
+                    p = prefix(h, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), _set_node(h))), pa.array(np.full(len(p), len(h), np.int32)), pa.array(np.arange(len(p), dtype=np.int32))], names=names)
+
+    rows = map_batches(docs.select("text"), run, struct(token=LONG, node=LONG, n=INT, at=INT)).distinct()
+    dealt = rows.repartition(shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token")
+
+    def met(batches):
+        for t in whole_keys(batches, ["token"]):
+            token = t["token"].to_numpy()
+            same = token[1:] == token[:-1]
+            yield from t.filter(pa.array(np.r_[same, False] | np.r_[False, same])).to_batches()
+
+    return map_batches(dealt, met, rows.schema)
+
+
+def _may_agree(x: str, y: str) -> F.Column:
+    """Whether the sizes, and the rest of both sets from the first shingle they share, leave room to agree by SIMILAR."""
+    up, down = SIMILAR
+    n, m = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
+    rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
+    return (F.least(n, m) * down >= F.greatest(n, m) * up) & (rest * (up + down) >= (n + m) * up)
+
+
 def near_sets(hashed: DataFrame, rid: str, marked: DataFrame, setting: Setting) -> DataFrame:
-    """node, root: components of the sets of shingles by links whose sets agree by SIMILAR."""
+    """node, root: components of the sets of shingles, linked where two sets agree by SIMILAR.
+
+    First the links of fingerprints are tried, which join most of a class.  Then, without loss, all pairs of sets of different
+    components that share a shingle of their prefixes: of each shingle first one set of each component with one other,
+    so that a large class that is in parts is whole before all pairs are tried."""
     tried = durable(_print_pairs(marked, setting))
-    sets = _sets(hashed, rid, marked, tried.select(F.explode(F.array("a", "b")).alias("node")), setting.width)
-    return components(verified(tried, sets))
+    shared = durable(_shared(hashed, setting.width))
+    sets = _sets(hashed, rid, marked, tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")), setting.width)
+    near = durable(verified(tried, sets))
+    for every in (False, True):
+        linked = components(near)
+        rooted = shared.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+        rooted = durable(rooted.join(split, "token", "left_semi"))
+        if rooted.isEmpty():
+            return linked
+        left = rooted
+        if not every:
+            ends = F.min(F.struct("node", "n", "at", "root")).alias("s")
+            rooted = rooted.groupBy("token", "root").agg(ends).select("token", "s.node", "s.n", "s.at", "s.root")
+            left = rooted.groupBy("token").agg(ends).select("token", "s.*")
+        x, y = left.alias("x"), rooted.alias("y")
+        apart = F.col("x.root") < F.col("y.root") if every else F.col("x.root") != F.col("y.root")
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _may_agree("x", "y"))
+        fresh = durable(_ordered(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(fresh)
+        near = durable(near.unionByName(verified(fresh, sets)))
+    return components(near)
 
 
 def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
