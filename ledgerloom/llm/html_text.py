@@ -3,7 +3,7 @@
 A page is read into a tree of elements.  Each element's density is its characters per tag, adjusted by how much of it
 is links, relative to the link share of the whole body.  The element with the largest sum of its children's densities
 is the core; the least density on its path from the body is the threshold, and elements beside the core that reach it
-are main text too.  A core within an ``article`` or ``main`` element extends to that element.  Parts that by their tag,
+are main text too.  A core within ``article`` or ``main`` elements extends to the outermost of them.  Parts that by their tag,
 role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments never count.
 
 A page is handled within one row and nothing is shuffled.  Defined cases: a null or empty html, and one without main
@@ -160,9 +160,9 @@ def main_nodes(top: Node) -> list[Node]:
     while up is not None:
         path.append(up)
         up = up.parent
-    for up in path:
-        if up.tag in ("article", "main"):
-            return [up]
+    # the outermost article or main element that holds the core is the core; beside it the threshold decides
+    best = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
+    path = path[path.index(best) :]
     if best is body or body not in path:
         return [body]
     threshold = min(n.density for n in path[: path.index(body) + 1])

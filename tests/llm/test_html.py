@@ -53,3 +53,14 @@ def test_deep_and_long_pages_and_odd_rows(spark):
     rows = sorted(html_text.op7_html(df).collect(), key=lambda r: (r.page_id is None, r.page_id))
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, 4), (2, 5 * 20_000 - 1), (3, 0), (3, 0), (None, 0)]
     assert html_text.op7_html(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,parts", [
+    ("<body><main><article><p>one {0}</p></article><article><p>two {0}</p></article></main></body>", ["one", "two"]),
+    ("<body><main><article><p>one {0}</p></article><section><p>two {0}</p></section></main></body>", ["one", "two"]),
+    ("<body><article><p>outer {0}</p><article><p>inner {0}</p><p>more {0}</p></article><p>after {0}</p></article></body>", ["outer", "inner", "more", "after"]),
+    ("<body><article><p>one {0}</p></article><article><p>two {0}</p></article><nav><a href=1>Home</a></nav></body>", ["one", "two"]),
+    ("<body><div><article><p>one {0}</p></article></div><div><article><p>two {0}</p></article></div><footer>foot</footer></body>", ["one", "two"]),
+])
+def test_several_and_nested_articles(page, parts):
+    assert html_text.main_text(page.format(LONG)) == "\n".join(f"{p} {' '.join(LONG.split())}" for p in parts)
