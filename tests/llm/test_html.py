@@ -58,6 +58,9 @@ def test_deep_and_long_pages_and_odd_rows(spark):
 @pytest.mark.parametrize("page,parts", [
     ("<body><main><article><p>one {0}</p></article><article><p>two {0}</p></article></main></body>", ["one", "two"]),
     ("<body><main><article><p>one {0}</p></article><section><p>two {0}</p></section></main></body>", ["one", "two"]),
+    ("<body><main><article><p>a {0}</p><p>b {0}</p><p>c {0}</p></article><article><p><a href=1>two</a> {0}</p></article></main></body>", ["a", "b", "c", "two"]),
+    ("<body><main><article><p>a {0}</p><p>b {0}</p><p>c {0}</p></article><section><p><a href=1>two</a> {0}</p></section></main></body>", ["a", "b", "c", "two"]),
+    ("<body><article><p><a href=1>outer</a> {0}</p><article><p>a {0}</p><p>b {0}</p><p>c {0}</p></article></article></body>", ["outer", "a", "b", "c"]),
     ("<body><article><p>outer {0}</p><article><p>inner {0}</p><p>more {0}</p></article><p>after {0}</p></article></body>", ["outer", "inner", "more", "after"]),
     ("<body><article><p>one {0}</p></article><article><p>two {0}</p></article><nav><a href=1>Home</a></nav></body>", ["one", "two"]),
     ("<body><div><article><p>one {0}</p></article></div><div><article><p>two {0}</p></article></div><footer>foot</footer></body>", ["one", "two"]),
