@@ -28,7 +28,7 @@ def build(values: DataFrame, column: str):
     return values.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
 
 
-def _holds(bits: np.ndarray, value: bytes) -> bool:
+def holds(bits: np.ndarray, value: bytes) -> bool:
     h = xxhash.xxh64_intdigest(value, 42)
     p, q = h & (1 << BITS) - 1, h >> 64 - BITS
     return bool(int(bits[p >> 5]) >> (p & 31) & 1 and int(bits[q >> 5]) >> (q & 31) & 1)
@@ -43,7 +43,7 @@ def tester(bits: np.ndarray):
         if got is None:
             if len(known) >= REMEMBERED:
                 known.clear()
-            got = known[word] = _holds(bits, word.encode("utf-8", "surrogatepass"))
+            got = known[word] = holds(bits, word.encode("utf-8", "surrogatepass"))
         return got
 
     return may
@@ -55,7 +55,7 @@ def rows_where(df: DataFrame, column: str, sent, inside: bool = True) -> DataFra
     def run(batches):
         bits = sent.value
         for batch in batches:
-            may = np.array([x is not None and _holds(bits, x.to_bytes(8, "little", signed=True)) for x in batch[column].to_pylist()], bool)
+            may = np.array([x is not None and holds(bits, x.to_bytes(8, "little", signed=True)) for x in batch[column].to_pylist()], bool)
             yield batch.filter(pa.array(may if inside else ~may, pa.bool_()))
 
     return map_batches(df, run, df.schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,6 +50,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_tables: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder, which takes less room than a checkpoint for many narrow rows.  ``forget`` removes such tables."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(forget, spark)
+    _tables.append(folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes the tables stored so far; what is read from them must be written by then.  Done at the end of the driver."""
+    while _tables:
+        with contextlib.suppress(Exception):  # a stopped session can't remove them
+            remove(spark, _tables[-1])
+        _tables.pop()
+    atexit.unregister(forget)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
