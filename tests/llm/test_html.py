@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -67,3 +68,40 @@ def test_deep_and_long_pages_and_odd_rows(spark):
 ])
 def test_several_and_nested_articles(page, parts):
     assert html_text.main_text(page.format(LONG)) == "\n".join(f"{p} {' '.join(LONG.split())}" for p in parts)
+
+
+@pytest.mark.parametrize("part,words", [
+    ('<p title="a hidden treasure">the treasure</p>', "the treasure"), ('<p>see <a href="/hidden/page">the page</a> here</p>', "see the page here"), ("<p data-overflow=hidden>shown text</p>", "shown text"),
+    ('<p data-id="share">shared text</p>', "shared text"), ('<header class="entry-header"><h1>The heading</h1></header>', "The heading"), ('<section class="related work"><p>Others did it.</p></section>', "Others did it."),
+    ('<h2 id="comments">Comments on the method</h2>', "Comments on the method"), ('<section id="sharing-data"><p>How data are shared.</p></section>', "How data are shared."), ('<p style="overflow: hidden">not hidden</p>', "not hidden"),
+    ('<div class="notice">A notice in court.</div>', "A notice in court."), ("<p>a tag <svg> that never ends</p>", "a tag that never ends"), ('<p id="social">Social life</p>', None), ('<div class="related"><a href=1>This</a> <a href=2>that</a></div>', None),
+])
+def test_names_and_values_inside_an_article(part, words):
+    got = html_text.main_text(f"<body><nav><a href=1>Home</a></nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>")
+    long = " ".join(LONG.split())
+    assert got == "\n".join([long, *([words] if words else []), long])
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form id=all><div class='content'><p>{0}</p><p>{0}</p></div><input></form></body>", "<body class='has-sidebar'><div class='no-sidebar'><div><p>{0}</p><p>{0}</p></div></div></body>",
+    "<body><div class='wrap login'><article><p>{0}</p><p>{0}</p></article></div></body>",
+])
+def test_a_wrapper_is_no_boilerplate(page):
+    assert html_text.main_text(page.format(LONG)) == "\n".join([" ".join(LONG.split())] * 2)
+
+
+def test_attributes_are_read_by_name():
+    page = """<a HREF = "x > y" title='it"s' data-a=1/2 hidden class="a b"/>rest"""
+    own, at, empty = html_text.attributes(page, 2)
+    assert own == {"href": "x > y", "title": 'it"s', "data-a": "1/2", "hidden": "", "class": "a b"} and page[at:] == "rest" and empty
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x=\"", "<div>", "<div><p>", "</b>", "<svg>", "<", "<!--", "<p><button><span>", "<span><h1>", "<li><i>", "&amp;", "<td x='", "<b></i>"])
+@pytest.mark.parametrize("end", ["", ">", "<p>end"])
+def test_hostile_markup_takes_linear_time(piece, end):
+    start = time.process_time()
+    html_text.main_text("<p>begin</p><button>" + "<span>" * 20_000 + piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - start < 12
+    start = time.process_time()
+    html_text.main_text("<p>begin</p>" + piece * (60_000 // len(piece)) + end)
+    assert time.process_time() - start < 1.5
