@@ -1,13 +1,17 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal a protected entity.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns.  Each value found is a
-protected entity e.  A term t is a word of letters and digits; it occurs with e if it stands within ``WINDOW`` words of
-a span of e.  With document counts over the whole corpus, N, n(t), n(e) and n(t, e), the term's disclosure is
+Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns; values that a credential's name
+is set to are found as ``secret`` too.  Protected entities are what recurs in the values found, at three levels: the
+value itself, the group it belongs to (an e-mail's domain, an address's first half, a phone number without its last seven
+digits, a card's issuer digits) and its kind.  A term t is a word of letters and digits, or two in a row; it occurs with
+an entity e if it stands within ``WINDOW`` words of a span of e.  With document counts over the whole corpus, N, n(t),
+n(e) and n(t, e), the term's disclosure is
 
     PMI(t; e) / IC(e) = log2(N n(t,e) / (n(t) n(e))) / log2(N / n(e)),
 
 1 if t tells e for certain and 0 if it tells nothing.  Pairs seen in ``SUPPORT`` different contexts or more count, so
-that copies of one passage reveal nothing by themselves.  A term whose greatest disclosure reaches ``GENERALISE`` is
+that copies of one passage reveal nothing by themselves, ``KIND_SUPPORT`` for a kind, which many contexts have; an
+entity of less than ``LEAST_BITS`` is no secret.  A term whose greatest disclosure reaches ``GENERALISE`` is
 generalised to the kind of its entity wherever it occurs; from ``REMOVE`` on it is removed.
 
 Only words near entities are counted at first.  The words that reach the support go as a Bloom filter of fixed size to a
@@ -15,17 +19,19 @@ second pass, which counts the documents of the words that pass; an exact join th
 occurrences of revealing terms are found the same way.  Texts are never shuffled by the counts.
 
 Defined cases: a null text is empty and stays null when sanitised; overlapping spans of different kinds all count, and
-the earliest, then longest, is replaced; equal texts get equal spans; an empty table gives no row; other columns pass.
+the earliest, then longest, is replaced, as is what a later one has beyond it; a term that touches a base span is none;
+of equal disclosures the kind that sorts last names the term; equal texts get equal spans; very long texts, runs and lists of values take
+linear time; repeated rows give repeated rows; an empty table gives no row; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +40,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import bloom
 from ledgerloom.llm.common import BIN, DBL, INT, LONG, STR, durable, free_name, map_rows, struct
 
-WINDOW, SUPPORT, GENERALISE, REMOVE, COUNTED = 8, 3, 0.8, 0.95, 200_000
+WINDOW, SUPPORT, KIND_SUPPORT, LEAST_BITS, GENERALISE, REMOVE, COUNTED = 8, 3, 8, 3.0, 0.8, 0.95, 200_000
 # The patterns of the base kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -42,8 +48,11 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = (*PATTERNS, "term")
-FIND = {k: re.compile(p) for k, p in PATTERNS.items()}
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(PATTERNS["email"].partition("@")[2])
+#: The patterns' matches in linear time: one that fails from the start of a run of digits fails from within it.
+FIND = {"ip": re.compile("(?<![0-9])" + PATTERNS["ip"].replace("]+", "]++")), "card": re.compile(PATTERNS["card"]), "phone": re.compile(PATTERNS["phone"])}
+SECRET = re.compile(r"""(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20{0,3}[:=]\x20{0,3}["']?([A-Za-z0-9_./+=-]{8,})""")
 WORD = re.compile(r"[^\W_]+")
 HAS_DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -66,62 +75,106 @@ def _valid(kind: str, found: str) -> bool:
     return kind != "phone" or 9 <= len(NOT_DIGIT.sub("", found)) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """Each sign has the local part that stands before it, back to the last sign or match."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield "email", start, m.end()
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind and start."""
-    out = []
-    digit = HAS_DIGIT.search(text) is not None
-    for kind, pattern in FIND.items():
-        if "@" in text if kind == "email" else digit and (kind != "phone" or "+" in text) and (kind != "ip" or "." in text):
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _valid(kind, m[0])]
+    out = list(_emails(text)) if "@" in text else []
+    if HAS_DIGIT.search(text):
+        for kind, pattern in FIND.items():
+            if (kind != "phone" or "+" in text) and (kind != "ip" or "." in text):
+                out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _valid(kind, m[0])]
     return out
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    return [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text)] if "=" in text or ":" in text else []
+
+
 def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def entity(kind: str, found: str) -> str:
-    return f"{kind}:{found.lower() if kind == 'email' else NOT_DIGIT.sub('', found) if kind != 'ip' else found}"
+def entities(kind: str, found: str) -> list[str]:
+    """The value, its group and its kind."""
+    digits = NOT_DIGIT.sub("", found)
+    if kind == "email":
+        found = found.lower()
+        return [f"email:{found}", f"email:{found[found.index('@') :]}", kind]
+    if kind == "ip":
+        return [f"ip:{found}", f"ip:{'.'.join(found.split('.')[:2])}.", kind]
+    if kind == "secret":
+        return [f"secret:{found}", kind]
+    return [f"{kind}:{digits}", f"{kind}:{digits[:6] if kind == 'card' else digits[:-7]}-", kind]
+
+
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of the words that touch no span."""
+    taken, out, i = sorted((a, b) for _, a, b in spans), [], 0
+    far = -1  # the end of the spans that begin before the word does
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][0] < b:
+            far, i = max(far, taken[i][1]), i + 1
+        if far <= a:
+            out.append((a, b, m[0].lower()))
+    return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str, list[str]]]:
-    """(entity, digest of the context, its terms) for each base span."""
+def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[list[str], str, list[str]]]:
+    """(entities, digest of the context, its terms) for each span."""
     if not spans:
         return []
-    words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
-    starts = np.array([w[0] for w in words], np.int64)
-    taken = [(a, b) for _, a, b in spans]
-    out = []
+    words = free_words(text, spans)
+    starts, out = [w[0] for w in words], []
     for kind, a, b in spans:
-        at = int(np.searchsorted(starts, a))
-        before, i = [], at - 1
-        while i >= 0 and len(before) < window:
-            if not any(words[i][0] < y and words[i][1] > x for x, y in taken):
-                before.append(words[i][2])
-            i -= 1
-        after, i = [], at
-        while i < len(words) and len(after) < window:
-            if not any(words[i][0] < y and words[i][1] > x for x, y in taken):
-                after.append(words[i][2])
-            i += 1
-        near = before[::-1] + after
-        out.append((entity(kind, text[a:b]), xxhash.xxh64_hexdigest(" ".join(near)), sorted(set(near))))
+        at = bisect_left(starts, a)
+        near = [w[2] for w in words[max(0, at - window) : at]], [w[2] for w in words[at : at + window]]
+        pairs = [f"{x} {y}" for side in near for x, y in zip(side, side[1:], strict=False)]
+        out.append((entities(kind, text[a:b]), xxhash.xxh64_hexdigest(" ".join(near[0] + near[1])), sorted({*near[0], *near[1], *pairs})))
     return out
 
 
+def terms_of(words: list[tuple[int, int, str]], may) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words, and pairs of neighbours, that may be in a filter; the first word of a pair is in it with a space."""
+    for k, (a, b, w) in enumerate(words):
+        if may(w):
+            yield w, a, b
+        if k + 1 < len(words) and may(w + " ") and may(pair := f"{w} {words[k + 1][2]}"):
+            yield pair, a, words[k + 1][1]
+
+
+def _filter(terms: DataFrame):
+    """The Bloom filter of terms and of the first words of pairs."""
+    pair = F.col("term").contains(" ")
+    return bloom.build(terms.select(F.explode(F.array_compact(F.array("term", F.when(pair, F.concat(F.substring_index("term", " ", 1), F.lit(" ")))))).alias("term")), "term")
+
+
 def marked(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, a key of the text, its base spans and their contexts."""
-    context = T.ArrayType(struct(entity=STR, context=STR, terms=T.ArrayType(STR)))
+    context = T.ArrayType(struct(entities=T.ArrayType(STR), context=STR, terms=T.ArrayType(STR)))
 
     def rows(it):
         for text, *kept in it:
             text = text or ""
-            spans = base_spans(text)
+            spans, secrets = base_spans(text), secret_spans(text)
             n = Counter(k for k, _, _ in spans)
             base = joined(spans)
-            yield (*kept, text_key(text), *(n[k] for k in PATTERNS), hashlib.sha256(base.encode()).hexdigest(), base, contexts(text, spans))
+            yield (*kept, text_key(text), *(n[k] for k in PATTERNS), len(secrets), hashlib.sha256(base.encode()).hexdigest(), joined([*spans, *secrets]), contexts(text, [*spans, *secrets]))
 
-    fields = struct(key=BIN, n_email=LONG, n_ip=LONG, n_card=LONG, n_phone=LONG, base_sha256=STR, base=STR, contexts=context).fields
+    fields = struct(key=BIN, n_email=LONG, n_ip=LONG, n_card=LONG, n_phone=LONG, n_secret=LONG, base_sha256=STR, base=STR, contexts=context).fields
     return map_rows(docs.select("text", *keep), rows, T.StructType([docs.schema[c] for c in keep] + fields))
 
 
@@ -129,30 +182,32 @@ def text_key(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, kind_support: int = KIND_SUPPORT) -> DataFrame:
     """term, disclosure, kind (that of its entity) of the terms to generalise or remove."""
-    total = marks.count()
-    each = marks.where(F.size("contexts") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("contexts").alias("c")).select("row", "c.entity", "c.context", "c.terms")
+    n = F.lit(float(marks.count()))
+    each = marks.where(F.size("contexts") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("contexts").alias("c"))
+    each = each.select("row", F.explode("c.entities").alias("entity"), "c.context", "c.terms")
+    enough = F.col("n_contexts") >= F.when(F.col("entity").contains(":"), support).otherwise(kind_support)
     held = each.groupBy("entity").agg(F.countDistinct("row").alias("n_e"), F.countDistinct("context").alias("n_contexts"))
-    often = durable(held.where(F.col("n_contexts") >= support))
+    often = durable(held.where(enough & (F.log2(n / F.col("n_e")) >= LEAST_BITS)).select("entity", "n_e"))
     if often.isEmpty():
         return docs.sparkSession.createDataFrame([], struct(term=STR, disclosure=DBL, kind=STR))
     pairs = each.join(often, "entity").select("row", "entity", "context", "n_e", F.explode("terms").alias("term"))
-    both = durable(pairs.groupBy("entity", "n_e", "term").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("context").alias("n_contexts")).where(F.col("n_contexts") >= support).drop("n_contexts"))
-    sent = bloom.build(both, "term")
+    both = durable(pairs.groupBy("entity", "n_e", "term").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("context").alias("n_contexts")).where(enough).drop("n_contexts"))
+    sent = _filter(both)
 
     def count(it):
         may, found = bloom.tester(sent.value), Counter()
         for (text,) in it:
-            found.update({w for w in {m.lower() for m in WORD.findall(text or "")} if may(w)})
+            text = text or ""
+            found.update({t for t, _, _ in terms_of(free_words(text, [*base_spans(text), *secret_spans(text)]), may)})
             if len(found) > COUNTED:
                 yield from found.items()
                 found.clear()
         yield from found.items()
 
     n_t = map_rows(docs.select("text"), count, struct(term=STR, n=LONG)).groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = F.lit(float(total))
-    told = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
+    told = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
     scored = both.join(n_t, "term").withColumn("disclosure", told).where(F.col("disclosure") >= generalise)
     best = F.max(F.struct("disclosure", F.substring_index("entity", ":", 1).alias("kind"))).alias("best")
     return scored.groupBy("term").agg(best).select("term", "best.disclosure", "best.kind")
@@ -160,31 +215,30 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """key and short (Spark's xxhash64) of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
-    sent = bloom.build(terms, "term")
+    sent = _filter(terms)
 
     def rows(it):
         may = bloom.tester(sent.value)
         for (text,) in it:
             text = text or ""
-            if not any(may(w) for w in {m.lower() for m in WORD.findall(text)}):
+            if not any(may(w) or may(w + " ") for w in {m.lower() for m in WORD.findall(text)}):
                 continue
-            key, base = text_key(text), [(a, b) for _, a, b in base_spans(text)]
+            key = text_key(text)
             short = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
             short -= (short >> 63) << 64
-            for m in WORD.finditer(text):
-                if may(m[0].lower()) and not any(m.start() < b and m.end() > a for a, b in base):
-                    yield key, short, m[0].lower(), m.start(), m.end()
+            for term, a, b in terms_of(free_words(text, [*base_spans(text), *secret_spans(text)]), may):
+                yield key, short, term, a, b
 
     seen = map_rows(docs.select("text"), rows, struct(key=BIN, short=LONG, term=STR, start=INT, end=INT))
     # equal texts have equal spans: once for each text, before a key's spans are gathered
-    once = seen.dropDuplicates(["key", "start"]).join(terms, "term")
+    once = seen.dropDuplicates(["key", "start", "end"]).join(terms, "term")
     return once.groupBy("key", "short").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", "kind"))).alias("terms"))
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:
     marks = durable(marked(docs, ["doc_id"]))
     terms = durable(revealing(docs, marks))
-    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base_sha256"]
     if terms.isEmpty():
         return marks.select(*columns, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     found = durable(term_spans(docs, terms))
@@ -203,7 +257,7 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
             r, known = list(r[: len(columns)]), r[len(columns)] if len(r) > len(columns) else ()
             text = r[text_at]
             if text is not None:
-                spans = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
+                spans = [(a, b, f"[{k.upper()}]") for k, a, b in [*base_spans(text), *secret_spans(text)]]
                 spans += [(s["start"], s["end"], "" if s["disclosure"] >= remove else f"[{s['kind'].upper()}-RELATED]") for s in known or ()]
                 r[text_at] = replaced(text, spans)
                 if chars_at is not None:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 from math import log2
 
@@ -27,7 +28,7 @@ def brute(text):
 def check(rows, texts):
     for r in rows:
         base = brute(texts[r.doc_id] or "")
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base) and r.spans.count("secret:") == r.n_secret
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(k) for k in ("email", "ip", "card", "phone")]
 
 
@@ -64,25 +65,81 @@ def corpus(spark):
     return spark.createDataFrame([*rows, (900, None, None)], "doc_id long, text string, n_chars long")
 
 
-def test_disclosure_against_brute_force(corpus):
-    rows = [(r.doc_id, r.text or "") for r in corpus.collect()]
-    n, n_t, n_e, n_te, contexts, kind = len(rows), defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(set), {}
-    for doc_id, text in rows:
-        for w in {m.lower() for m in re.findall(r"[^\W_]+", text)}:
-            n_t[w] += 1
-        for e, context, terms in pii.contexts(text, pii.base_spans(text)):
-            n_e[e].add(doc_id)
-            contexts[e].add(context)
+def plain_disclosure(rows, window=pii.WINDOW):
+    """term -> greatest disclosure by plain counting, for rows (doc_id, text)."""
+    n, n_t, n_e, n_te, seen = len(rows), defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, (_, text) in enumerate(rows):
+        spans = [(kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in filter(None, brute(text).split(",")))]
+        spans += [("secret", m.start(1), m.end(1)) for m in re.finditer(pii.SECRET.pattern, text)]
+        words = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text) if not any(m.start() < b and m.end() > a for _, a, b in spans)]
+        for t in {w for _, w in words} | {f"{x} {y}" for (_, x), (_, y) in zip(words, words[1:], strict=False)}:
+            n_t[t] += 1
+        for kind, a, b in spans:
+            value, digits = text[a:b].lower(), re.sub("[^0-9]", "", text[a:b])
+            group = {"email": lambda: value.split("@")[1], "ip": lambda: ".".join(value.split(".")[:2]), "card": lambda: digits[:6], "phone": lambda: digits[:-7]}.get(kind)
+            sides = [w for i, w in words if i < a][-window:], [w for i, w in words if i >= a][:window]
+            terms = {*sides[0], *sides[1]} | {f"{x} {y}" for side in sides for x, y in zip(side, side[1:], strict=False)}
+            for e in {(kind, "value", text[a:b] if kind == "secret" else value if kind in ("email", "ip") else digits), (kind, "group", group())} if group else {(kind, "value", text[a:b])}:
+                n_e[e].add(k)
+                seen[e].add(tuple(sides[0] + sides[1]))
+                for t in terms:
+                    n_te[e, t].add((k, tuple(sides[0] + sides[1])))
+            n_e[kind,].add(k)
+            seen[kind,].add(tuple(sides[0] + sides[1]))
             for t in terms:
-                n_te[e, t].add((doc_id, context))
-    want = {}
+                n_te[(kind,), t].add((k, tuple(sides[0] + sides[1])))
+    out = {}
     for (e, t), both in n_te.items():
-        if len({c for _, c in both}) >= pii.SUPPORT and len(contexts[e]) >= pii.SUPPORT:
-            told = log2(n * len({d for d, _ in both}) / (n_t[t] * len(n_e[e]))) / log2(n / len(n_e[e]))
+        need = pii.SUPPORT if len(e) > 1 else pii.KIND_SUPPORT
+        if len({c for _, c in both}) >= need and log2(n / len(n_e[e])) >= pii.LEAST_BITS:
+            told = log2(n * len({k for k, _ in both}) / (n_t[t] * len(n_e[e]))) / log2(n / len(n_e[e]))
             if told >= pii.GENERALISE:
-                want[t] = round(told, 9)
-    got = {r.term: round(r.disclosure, 9) for r in pii.revealing(corpus, pii.marked(corpus, []), generalise=pii.GENERALISE).collect()}
-    assert got == want and "zorblax" in got and "quixotic" not in got
+                out[t] = max(out.get(t, 0), round(told, 9))
+    return out
+
+
+def test_disclosure_against_brute_force(corpus):
+    want = plain_disclosure([(r.doc_id, r.text or "") for r in corpus.collect()])
+    got = {r.term: round(r.disclosure, 9) for r in pii.revealing(corpus, pii.marked(corpus, [])).collect()}
+    assert got == want and {"zorblax", "zorblax called"} <= set(got) and "quixotic" not in got
+
+
+def test_disclosure_of_groups_kinds_and_pairs(spark):
+    """Different people of one company stand beside its name; a credential's name tells that a secret follows."""
+    rng, words = random.Random(3), [f"word{i}" for i in range(40)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for i in range(400):
+        text = some(25)
+        if i % 40 == 0:
+            text += f" {some(1)} quorum systems desk p{i}@quorum.example {some(3)}"
+        if i % 40 == 5:
+            text += f" {some(2)} token = \"{rng.getrandbits(128):032x}\" {some(2)}"
+        if i % 80 == 9:
+            text += " quorum systems said so"
+        rows.append((i, text))
+    rows += [(i, "copied peculiar words +1 (555) 010-2030 of one passage") for i in range(400, 404)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: (round(r.disclosure, 9), r.kind) for r in pii.revealing(docs, pii.marked(docs, [])).collect()}
+    assert {t: x for t, (x, _) in got.items()} == plain_disclosure(rows)
+    assert got["quorum"][1] == got["quorum systems"][1] == "email" and got["token"][1] == "secret" and "peculiar" not in got
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "quorum" not in clean[9] and clean[1] == dict(rows)[1] and "[SECRET]" in clean[5]
+
+
+def test_disclosure_on_the_tables_against_brute_force(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.term: round(r.disclosure, 9) for r in pii.revealing(docs, pii.marked(docs, [])).collect()}
+    assert got == plain_disclosure([(k, v or "") for k, v in texts.items()])
+
+
+@pytest.mark.parametrize("text", ["9" * 200_000, "a" * 200_000 + "@", "a@" * 100_000, "1." * 100_000, "1.1.1" + "9" * 200_000, "+" + "1(" * 100_000, "+1" * 100_000, "x@y.zz " * 20_000, "4111-" * 40_000, "token=" * 30_000, "token" + " " * 200_000])
+def test_long_runs_take_linear_time(text):
+    start = time.process_time()
+    spans = pii.base_spans(text)
+    pii.contexts(text, [*spans, *pii.secret_spans(text)])
+    assert time.process_time() - start < 2
+    assert ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text[:2000])) == brute(text[:2000])
 
 
 def test_terms_are_spans_and_replaced(corpus):
