@@ -3,14 +3,18 @@
 Documents become ids (byte-level BPE and an end mark); those longer than a sequence are cut into pieces.  Whole-length
 pieces fill a sequence each.  The others are dealt evenly over islands of at most ``ISLAND`` pieces, and every island
 evolves a population of packings in its own Spark group: a child takes over whole well-filled bins of one parent, drops
-the other parent's bins that hold the same pieces, and best-fits what this displaces.  Between epochs the best-filled
+the other parent's bins that hold the same pieces, and best-fits what this displaces, after pieces of bins with room
+were exchanged for displaced ones that fill them.  The first packings are best fit in falling order and bins filled to
+the last token by one, two or three pieces where such exist.  An island whose packing reaches the bound, its tokens
+divided by the capacity, is done.  Between epochs the best-filled
 bins of an island migrate to the next one as patterns of lengths, since islands hold different documents; there they
 are rebuilt from local pieces and injected in the same way.  Last, every island gives its ``RELEASED`` worst-filled
 bins away; they are packed anew on fewer islands, level by level, until one island holds the rest.
 
 A group never holds more than a constant number of pieces and no piece is dropped.  Only lengths and keys are shuffled,
 never ids.  Defined cases: a null text counts as empty and is the end mark alone; repeated rows and ties are packed one
-by one; an empty table gives no row; columns other than doc_id and text are not read.
+by one; a very long text is cut into as many pieces as it needs; an empty table gives no row; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import INT, LONG, durable, map_rows, struct
 
-CAPACITY, END, ISLAND, EPOCHS, RELEASED, ELITE = 1024, 2, 4096, 2, 48, 32
-POPULATION, GENERATIONS = 4, 8
+CAPACITY, END, ISLAND, EPOCHS, RELEASED, ELITE = 1024, 2, 16384, 2, 256, 32
+POPULATION, GENERATIONS = 8, 24
+#: How often first packings begin a bin with a piece of any length.
+WILD = (0.1, 0.25, 0.5)
 #: Characters on whose classes all Unicode versions agree, none of them white space beyond ASCII.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
 _loaded: dict[int, tuple] = {}
@@ -121,6 +127,73 @@ class Bins:
         return -len(self.bins), sum(f * f for f in self.fill)
 
 
+class Stock:
+    """Pieces by length, with the lengths in stock as bits of a number, from below and from the capacity downwards."""
+
+    def __init__(self, lengths: list[int], pieces, capacity: int):
+        self.capacity, self.own = capacity, {}
+        for i in pieces:
+            self.own.setdefault(lengths[i], []).append(i)
+        self.up = sum(1 << n for n in self.own)
+        self.down = sum(1 << capacity - n for n in self.own)
+
+    def take(self, n: int) -> int:
+        own = self.own[n]
+        i = own.pop()
+        if not own:
+            del self.own[n]
+            self.up ^= 1 << n
+            self.down ^= 1 << self.capacity - n
+        return i
+
+    def put(self, n: int, i: int) -> None:
+        if n not in self.own:
+            self.own[n] = []
+            self.up |= 1 << n
+            self.down |= 1 << self.capacity - n
+        self.own[n].append(i)
+
+    def pair(self, room: int) -> int:
+        """The lesser of the two most equal lengths in stock that add up to room, or 0."""
+        both = self.up & (1 << room) - 1 & self.down >> self.capacity - room
+        if room % 2 == 0 and both >> room // 2 & 1 and len(self.own[room // 2]) < 2:
+            both ^= 1 << room // 2
+        both &= (2 << room // 2) - 1
+        return both.bit_length() - 1 if both else 0
+
+    def filling(self, room: int, tries: int) -> list[int]:
+        """Lengths of one to three pieces that fill the room, or else the longest that fits, if any."""
+        low = self.up & (2 << room) - 1
+        if not low:
+            return []
+        longest = low.bit_length() - 1
+        if longest == room:
+            return [room]
+        if b := self.pair(room):
+            return [b, room - b]
+        for _ in range(tries):
+            if not low:
+                break
+            a = low.bit_length() - 1
+            low ^= 1 << a
+            if (b := self.pair(room - a)) and len(self.own[a]) >= 1 + (b == a) + (room - a - b == a):
+                return [a, b, room - a - b]
+        return [longest]
+
+
+def filled(lengths: list[int], pieces, capacity: int, rng: random.Random | None = None, wild: float = 0.0, tries: int = 64) -> list[list[int]]:
+    """Bins, each begun by the longest piece left, or by one of any length as often as wild says, and filled to the last token where that can be."""
+    stock, bins = Stock(lengths, pieces, capacity), []
+    while stock.own:
+        n = rng.choice(list(stock.own)) if wild and rng.random() < wild else stock.up.bit_length() - 1
+        bins.append([stock.take(n)])
+        room = capacity - n
+        while room and (more := stock.filling(room, tries)):
+            bins[-1] += [stock.take(k) for k in more]
+            room -= sum(more)
+    return bins
+
+
 def crossover(into: Bins, injected: list[list[int]]) -> Bins:
     """The injected bins stay whole; bins of the other parent that share a piece with them go, and what they alone held is best-fitted."""
     taken = {i for b in injected for i in b}
@@ -130,11 +203,31 @@ def crossover(into: Bins, injected: list[list[int]]) -> Bins:
             kept.append(b)
         else:
             displaced += [i for i in b if i not in taken]
+    stock = exchange(kept, len(injected), Stock(into.lengths, displaced, into.capacity), into)
     child = Bins(into.lengths, into.capacity, kept)
-    child.best_fit(displaced)
+    child.best_fit([i for own in stock.own.values() for i in own])
     return child
 
 
+def exchange(bins: list[list[int]], start: int, stock: Stock, of: Bins) -> Stock:
+    """Gives bins with room, from a place on, a displaced piece for one of theirs that is as much shorter as fills them, or is shorter at all."""
+    for k in range(start, len(bins)):
+        room = of.capacity - sum(of.lengths[i] for i in bins[k])
+        if not room or not stock.own:
+            continue
+        best = None
+        for place, i in enumerate(bins[k]):
+            n = of.lengths[i]
+            fits = (stock.up & (2 << n + room) - 1).bit_length() - 1
+            if fits > n and (best is None or fits - n > best[0]):
+                best = fits - n, place, fits
+        if best:
+            bins[k] = list(bins[k])
+            i, bins[k][best[1]] = bins[k][best[1]], stock.take(best[2])
+            stock.put(of.lengths[i], i)
+    return stock
+
+
 def immigrants(lengths: list[int], patterns: list[list[int]]) -> list[list[int]]:
     """Bins with the given lengths, built from local pieces, each piece used once."""
     stock: dict[int, list[int]] = {}
@@ -151,19 +244,21 @@ def immigrants(lengths: list[int], patterns: list[list[int]]) -> list[list[int]]
 def evolve(lengths: list[int], capacity: int, seed: int, known: list[list[int]], patterns: list[list[int]], population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
     """The best packing of one island after an epoch; known is its packing so far, if any."""
     rng, everyone = random.Random(seed), []
-    first = Bins(lengths, capacity)
-    first.best_fit(range(len(lengths)))
-    everyone.append(Bins(lengths, capacity, known) if known else first)
+    bound = -(-sum(lengths) // capacity)
+    everyone.append(Bins(lengths, capacity, known or filled(lengths, range(len(lengths)), capacity)))
+    if len(everyone[0].bins) > bound:
+        everyone.append(Bins(lengths, capacity))
+        everyone[1].best_fit(range(len(lengths)))
     if known and patterns and (new := immigrants(lengths, patterns)):
         everyone.append(crossover(everyone[0], new))
-    bound = -(-sum(lengths) // capacity)
-    while len(everyone) < population and len(first.bins) > bound:
+    while len(everyone) < population and max(map(Bins.fitness, everyone))[0] < -bound:
+        if len(everyone) % 4:
+            everyone.append(Bins(lengths, capacity, filled(lengths, range(len(lengths)), capacity, rng, WILD[len(everyone) % 4 - 1])))
+            continue
         other = Bins(lengths, capacity)
-        shuffled = list(range(len(lengths)))
-        rng.shuffle(shuffled)
-        early = shuffled[: len(shuffled) // 8]
+        early = set(rng.sample(range(len(lengths)), len(lengths) // 8))
         other.best_fit(early)
-        other.best_fit(set(shuffled) - set(early))
+        other.best_fit(set(range(len(lengths))) - early)
         everyone.append(other)
     for _ in range(generations):
         everyone.sort(key=Bins.fitness, reverse=True)
@@ -227,8 +322,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epoc
         if islands == 1:
             settled.append(state.select(*pieces.columns, placed))
             break
-        fill = state.groupBy("island", "bin").agg(F.sum("length").alias("fill"))
-        rank = F.row_number().over(Window.partitionBy("island").orderBy("fill", "bin"))
+        fill = state.groupBy("island", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
+        # of equally filled bins those of many pieces, which fit in more ways
+        rank = F.row_number().over(Window.partitionBy("island").orderBy("fill", F.desc("n"), "bin"))
         worst = fill.withColumn("rank", rank).where(F.col("rank") <= RELEASED).select("island", "bin", F.lit(True).alias("worst"))
         state = state.join(worst, ["island", "bin"], "left")
         settled.append(state.where(F.col("worst").isNull()).select(*pieces.columns, placed))
