@@ -79,38 +79,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(license.TEMPLATES.items()))
-_CUED = " OR ".join(f"contains(lower(unit), '{c}')" for c in license.CUES)
+_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in n)) for n in license.notices())
+_COMMON = ", ".join(f"'{w}'" for w in license.COMMON)
+_TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({_COMMON}))"
+_COMMENTS = license.COMMENT.replace("(?md)", "")
 
 ORACLES: dict[str, str] = {
-    "op4_license": f"""
-        WITH notices(license, notice) AS (VALUES {_NOTICES}), files AS (
-            SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, coalesce(text, '') AS text FROM documents
+    "op4_license": rf"""
+        WITH notices(license, notice) AS (VALUES {_NOTICES}), laid AS (
+            SELECT doc_id, coalesce(doc_id, 0) AS d, coalesce(source, '') AS src, coalesce(text, '') AS text,
+                coalesce(doc_id, 0) % 2 = 0 AND contains(lower(coalesce(text, '')), 'licens') AS by_name, row_number() OVER () AS file
+            FROM documents
+        ), files AS (
+            SELECT doc_id, file, text, '/' || src || '/' || CAST(d // 1000 AS VARCHAR) || CASE WHEN by_name AND d % 4 = 0 THEN '' ELSE '/' || CAST(d // 50 AS VARCHAR) END
+                || '/' || CASE WHEN by_name THEN 'LICENSE-' ELSE '' END || coalesce(CAST(doc_id AS VARCHAR), '') AS path, by_name
+            FROM laid
+        ), marked AS (
+            SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '{_COMMENTS}', chr(1), 'gm'), '^([^
+][^
+]*)
+', '' || chr(10) || chr(10) || chr(1), 'gm'),
+                '^([^
+]*)
+([^
+])', '' || chr(10) || chr(10) || '', 'gm') AS marked
+            FROM files
         ), units AS (
-            SELECT path, unit FROM (SELECT path, unnest(string_split(text, chr(10))) AS unit FROM files) WHERE {_CUED}
-        ), distinct_units AS (SELECT unit, count(*) AS n FROM units GROUP BY unit),
-        terms AS (
-            SELECT unit, n, term, count(*) AS tf FROM (SELECT unit, n, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS term FROM distinct_units)
-            WHERE term <> '' GROUP BY unit, n, term
-        ), df AS (SELECT term, sum(n) AS df FROM terms GROUP BY term),
-        total AS (SELECT coalesce(sum(n), 0) AS total FROM distinct_units),
-        w AS (SELECT unit, term, tf * (ln((1.0::DOUBLE + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total),
-        own AS (
-            SELECT license, term, tf * (ln((1.0::DOUBLE + total) / (1 + coalesce(df, 0))) + 1) AS v
-            FROM (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(string_split_regex(lower(notice), '[^a-z0-9]+')) AS term FROM notices) WHERE term <> '' GROUP BY ALL)
-            LEFT JOIN df USING (term), total
-        ), norms AS (SELECT license, sqrt(sum(v * v)) AS norm FROM own GROUP BY license),
-        lengths AS (SELECT unit, sqrt(sum(w * w)) AS length FROM w GROUP BY unit),
-        scored AS (
-            SELECT unit, license, round(sum(w * v / norm) / any_value(length), 6) AS score
-            FROM w JOIN own USING (term) JOIN norms USING (license) JOIN lengths USING (unit) GROUP BY unit, license
+            SELECT file, path, unnest(list_concat(list_concat(string_split(text, chr(10)), list_filter(string_split_regex(marked, '
+[ 	
+]*
+'), lambda p: contains(p, chr(10)))),
+                CASE WHEN by_name THEN [text] ELSE [] END)) AS unit
+            FROM marked
+        ), numbered AS (SELECT file, path, {_TERMS.format("unit")} AS terms, row_number() OVER () AS u FROM units),
+        held AS (SELECT license, notice, term, count(*) AS tf FROM (SELECT license, notice, unnest({_TERMS.format("notice")}) AS term FROM notices) GROUP BY ALL),
+        hits AS (
+            SELECT file, path, u, n, term, count(*) AS tf FROM (SELECT file, path, u, len(terms) AS n, unnest(terms) AS term FROM numbered)
+            WHERE term IN (SELECT term FROM held) GROUP BY ALL
+        ), total AS (SELECT count(*) AS total FROM documents),
+        df AS (SELECT term, count(DISTINCT file) AS df FROM hits GROUP BY term),
+        own AS (SELECT license, notice, term, tf * (ln((1.0::DOUBLE + total) / (1 + coalesce(df, 0))) + 1) AS v FROM held LEFT JOIN df USING (term), total),
+        norms AS (SELECT license, notice, sqrt(sum(v * v)) AS norm FROM own GROUP BY ALL),
+        w AS (SELECT file, path, u, n, term, tf, tf * (ln((1.0::DOUBLE + total) / (1 + df)) + 1) AS w FROM hits JOIN df USING (term), total),
+        lengths AS (
+            SELECT u, sqrt(sum(w * w) + power(ln((1.0::DOUBLE + any_value(total)) / (1 + sqrt(any_value(total)))) + 1, 2) * (any_value(n) - sum(tf))) AS length
+            FROM w, total GROUP BY u
         ), found AS (
-            SELECT path, license, score FROM units JOIN scored USING (unit) WHERE score >= {license.LEAST}
-            QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
+            SELECT path, license, round(sum(w * v / norm) / any_value(length), 6) AS score
+            FROM w JOIN own USING (term) JOIN norms USING (license, notice) JOIN lengths USING (u) GROUP BY path, u, license, notice
+            HAVING score >= {license.LEAST}
+        ), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+        homes AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS home FROM files),
+        grants AS (
+            SELECT home AS dir, path AS from_path, license AS from_license, score AS from_score FROM best JOIN (SELECT DISTINCT path, home FROM homes WHERE by_name) USING (path)
+            QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, path) = 1
+        ), nearest AS (
+            SELECT home, from_path, from_license, from_score FROM (SELECT DISTINCT home FROM homes) JOIN grants ON home = dir OR starts_with(home, dir || '/')
+            QUALIFY row_number() OVER (PARTITION BY home ORDER BY length(dir) DESC) = 1
         )
-        SELECT doc_id, path, license, score, CASE WHEN license IS NULL THEN 'none' ELSE 'header' END AS origin,
-            CASE WHEN license IS NOT NULL THEN path END AS licensed_by
-        FROM files LEFT JOIN found USING (path)
+        SELECT doc_id, path, coalesce(license, from_license) AS license, coalesce(score, from_score) AS score,
+            CASE WHEN license IS NOT NULL AND by_name THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN from_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+            CASE WHEN license IS NOT NULL THEN path ELSE from_path END AS licensed_by
+        FROM homes LEFT JOIN best USING (path) LEFT JOIN nearest USING (home)
     """,
     "op10_topk": """
         WITH v AS (
