@@ -18,6 +18,14 @@ def execute_join(left: DataFrame, right: DataFrame, condition: str | Column) ->
     return left.alias("l").join(right.alias("r"), on, "inner")
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A name that no column of these frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _pairs(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -33,10 +41,19 @@ def right_orphans(left: DataFrame, right: DataFrame, left_key, right_key) -> Dat
 
 
 def unmatched(left: DataFrame, right: DataFrame, condition: str | Column) -> DataFrame:
-    """Left rows for which no right row meets the whole condition over l and r."""
+    """Left rows for which no right row meets the whole condition over l and r.
+
+    The condition needs an equality, or Spark compares all rows with all; without one, take ``unmatched_of`` of a bucketed join."""
     return left.alias("l").join(right.alias("r"), F.expr(condition) if isinstance(condition, str) else condition, "left_anti")
 
 
+def unmatched_of(left: DataFrame, matched: DataFrame) -> DataFrame:
+    """Left rows that are not among the rows, or the l side of the rows, of a join; equal rows count as one, nulls as equal."""
+    sides = matched.select(*(F.col(f"l.`{c}`") for c in left.columns)).distinct()
+    on = reduce(Column.__and__, (F.col(f"l.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in left.columns))
+    return left.alias("l").join(sides.alias("m"), on, "left_anti")
+
+
 def range_join(left: DataFrame, right: DataFrame, condition: str | Column, ranges: KeyRanges, i: int, left_key: str | None = None, right_key: str | None = None) -> DataFrame:
     """The i-th part of execute_join: key ranges over one side's key, or both sides' where both have it.
 
@@ -50,7 +67,8 @@ def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_val
     """Pairs with abs(l.value - r.value) <= threshold and no equal key.
 
     Values are bucketed in steps of twice the threshold; a right row is sent to its bucket and both neighbours, so that
-    an equality join finds all pairs, each once.  A threshold of 0 is equality; a negative or NaN one finds nothing."""
+    an equality join finds all pairs, each once.  Buckets are doubles, as a large value over a small step is no long; from
+    2**53 on a bucket is a single value, and so are its neighbours, which count once.  A threshold of 0 is equality; a negative or NaN one finds nothing."""
     if not threshold >= 0:
         return execute_join(left.limit(0), right.limit(0), F.lit(True))
     l, r = F.col(f"l.{left_value}").cast("double"), F.col(f"r.{right_value}").cast("double")  # noqa: E741
@@ -60,11 +78,13 @@ def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_val
     if threshold == 0:
         return execute_join(left, right, (l == r) & on)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    bucket = lambda c: F.floor(c / F.lit(2.0 * threshold))
+    step, name = max(2.0 * threshold, 5e-324), free_name("_bucket", left, right)
+    whole = lambda q: F.when(F.abs(q) < F.lit(2.0**53), F.floor(q).cast("double")).otherwise(q)
+    bucket = lambda c: whole(F.least(F.greatest(c / F.lit(step), F.lit(-1.7e308)), F.lit(1.7e308)))
     lv, rv = F.col(left_value).cast("double"), F.col(right_value).cast("double")
-    dealt_left = left.where(finite(lv)).withColumn("_bucket", bucket(lv))
-    dealt_right = right.where(finite(rv)).withColumn("_bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bucket(rv) + d)))
-    return dealt_left.alias("l").join(dealt_right.alias("r"), (F.col("l._bucket") == F.col("r._bucket")) & on).drop("_bucket")
+    dealt_left = left.where(finite(lv)).withColumn(name, bucket(lv))
+    dealt_right = right.where(finite(rv)).withColumn(name, F.explode(F.array_distinct(F.array(*(bucket(rv) + float(d) for d in (-1, 0, 1))))))
+    return dealt_left.alias("l").join(dealt_right.alias("r"), (F.col(f"l.{name}") == F.col(f"r.{name}")) & on).drop(name)
 
 
 def window_join(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days_before: int, days_after: int, extra: Column | None = None) -> DataFrame:
@@ -72,21 +92,23 @@ def window_join(left: DataFrame, right: DataFrame, left_date: str, right_date: s
     width = days_before + days_after + 1
     if width < 1:
         return execute_join(left.limit(0), right.limit(0), F.lit(True))
+    name = free_name("_bucket", left, right)
     day = lambda c: F.unix_date(c.cast("date"))
     l, r = F.col(f"l.{left_date}"), F.col(f"r.{right_date}")  # noqa: E741
     on = r.between(l - F.expr(f"INTERVAL '{days_before}' DAY"), l + F.expr(f"INTERVAL '{days_after}' DAY"))
     first = F.floor((day(F.col(left_date)) - days_before) / F.lit(width))
     last = F.floor((day(F.col(left_date)) + days_after + 1) / F.lit(width))
-    dealt_left = left.where(F.col(left_date).isNotNull()).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    dealt_right = right.where(F.col(right_date).isNotNull()).withColumn("_bucket", F.floor(day(F.col(right_date)) / F.lit(width)))
-    both = (F.col("l._bucket") == F.col("r._bucket")) & on
-    return dealt_left.alias("l").join(dealt_right.alias("r"), both if extra is None else both & extra).drop("_bucket")
+    dealt_left = left.where(F.col(left_date).isNotNull()).withColumn(name, F.explode(F.sequence(first, last)))
+    dealt_right = right.where(F.col(right_date).isNotNull()).withColumn(name, F.floor(day(F.col(right_date)) / F.lit(width)))
+    both = (F.col(f"l.{name}") == F.col(f"r.{name}")) & on
+    return dealt_left.alias("l").join(dealt_right.alias("r"), both if extra is None else both & extra).drop(name)
 
 
 def best_candidate(pairs: DataFrame, key: list[str], cost: Column, ties: list[str]) -> DataFrame:
     """The pair of least cost for each key; ties by the given columns."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(cost.asc_nulls_last(), *ties))
-    return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = free_name("_rank", pairs)
+    return pairs.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def batches(df: DataFrame) -> Iterator:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import field_name, js_number
@@ -12,6 +12,16 @@ from ledgerloom.operators.joins import execute_join, tolerance_join
 from ledgerloom.plans.rules import Condition
 
 EXACT_SHARE, TOLERANT_SHARE, RELATIVE = 0.7, 0.5, 0.05
+#: Pairs that must be confirmed before rules are inferred from them.
+LEAST_PAIRS = 3
+
+
+def confirmed(pairs: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
+    """The pairs, if there are enough of them to infer rules from."""
+    known = pairs.limit(least).count()
+    if known < least:
+        raise ValueError(f"rules need {least} confirmed pairs, there are {known}")
+    return pairs
 
 
 def _cells(columns: list[str]):
@@ -24,14 +34,20 @@ def infer_rules(pairs: DataFrame, left_columns: list[str], right_columns: list[s
 
     Two columns match by eq if over 0.7 of the pairs have equal text, by tolerance if over 0.5 are within 5 % or both
     shares together exceed 0.7.  Empty cells never match but count as pairs."""
-    crossed = pairs.select(_cells(left_columns).alias("ls"), _cells(right_columns).alias("rs")).select(F.explode("ls").alias("l"), "rs").select("l", F.explode("rs").alias("r"))
-    a, b = F.col("l.text"), F.col("r.text")
-    filled, x, y = (a != "") & (b != ""), js_number(a), js_number(b)
-    share = F.when(x == 0, F.abs(x - y)).otherwise(F.abs(x - y) / F.abs(x))
-    exact = filled & (a == b)
-    close = filled & (a != b) & x.isNotNull() & y.isNotNull() & (share < RELATIVE)
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    found = crossed.groupBy("l.place", "l.name", F.col("r.place").alias("right_place"), F.col("r.name").alias("right_col")).agg(F.avg(flag(exact)).alias("exact"), F.avg(flag(close)).alias("close"))
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    texts = pairs.select(*(text(c).alias(f"{side}{i}") for side, columns in (("a", left_columns), ("b", right_columns)) for i, c in enumerate(columns)))
+    # every cell is read as a number once, then one aggregate holds the counts of all pairs of columns
+    cells = texts.select("*", *(js_number(c).alias(c.translate(str.maketrans("ab", "xy"))) for c in texts.columns))
+
+    def counts(i: int, j: int) -> Column:
+        a, b, x, y = F.col(f"a{i}"), F.col(f"b{j}"), F.col(f"x{i}"), F.col(f"y{j}")
+        filled, share = (a != "") & (b != ""), F.when(x == 0, F.abs(x - y)).otherwise(F.abs(x - y) / F.abs(x))
+        return F.struct(F.lit(i).alias("place"), F.lit(j).alias("right_place"), F.count_if(filled & (a == b)).alias("exact"), F.count_if(filled & (a != b) & (share < RELATIVE)).alias("close"))
+
+    counted = cells.agg(F.count("*").alias("n"), F.array(*(counts(i, j) for i in range(len(left_columns)) for j in range(len(right_columns)))).alias("all"))
+    named = lambda columns, place: F.element_at(F.array(*map(F.lit, columns)), F.col(place) + 1)
+    found = counted.where("n > 0").select("n", F.explode("all").alias("c")).select(
+        "c.place", "c.right_place", named(left_columns, "c.place").alias("name"), named(right_columns, "c.right_place").alias("right_col"), (F.col("c.exact") / F.col("n")).alias("exact"), (F.col("c.close") / F.col("n")).alias("close"))
     op = F.when(F.col("exact") > EXACT_SHARE, "eq").when((F.col("close") > TOLERANT_SHARE) | (F.col("exact") + F.col("close") > EXACT_SHARE), "tolerance")
     scored = found.select("place", "right_place", F.col("name").alias("left_col"), "right_col", op.alias("op"), F.when(F.col("exact") > EXACT_SHARE, F.col("exact")).otherwise(F.col("exact") + F.col("close")).alias("confidence"))
     return scored.where("op IS NOT NULL").orderBy(F.desc("confidence"), "place", "right_place").drop("place", "right_place")

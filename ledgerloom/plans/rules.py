@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import tolerance_match
-from ledgerloom.operators.joins import execute_join, tolerance_join
+from ledgerloom.operators.joins import execute_join, tolerance_join, unmatched_of
 
 PATTERNS = ("1:1", "1:N", "M:1")
 
@@ -63,3 +63,18 @@ def match_rule(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
         first = tolerances[0]
         return tolerance_join(left, right, first.left, first.right, first.threshold, rule.column())
     return execute_join(left, right, rule.column())
+
+
+def unmatched_rule(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
+    """Left rows that meet the rule with no right row, by the rule's own bucketed join."""
+    return unmatched_of(left, match_rule(left, right, rule))
+
+
+def match_rules(left: DataFrame, right: DataFrame, rules: list[Rule], left_key: str) -> list[tuple[str, DataFrame]]:
+    """Rules by falling priority, then in order: each is asked of the left rows that no earlier one has matched."""
+    found, rest = [], left
+    for rule in sorted(rules, key=lambda r: -r.priority):
+        matched = match_rule(rest, right, rule)
+        found.append((rule.name, matched))
+        rest = rest.join(matched.select(F.col(f"l.`{left_key}`").alias(left_key)).distinct(), left_key, "left_anti")
+    return found

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import threading
+import time
+import warnings
 from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -84,6 +86,27 @@ def matched_pairs(session: SparkSession, request: JobRequest) -> DataFrame:
     return found.select(a.alias("left_key"), b.alias("right_key")).where("left_key IS NOT NULL AND right_key IS NOT NULL")
 
 
+ATTEMPTS, PAUSE = 3, 0.5
+
+
+def _announce(tell, **more) -> None:
+    """Says that a run is done, again if the receiver fails; a run that is done stays so whatever the receiver does."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return tell("completed", **more)
+        except Exception as e:
+            warnings.warn(f"the receiver of a run's events failed: {e}", stacklevel=2)
+            time.sleep(PAUSE * attempt)
+
+
+def plan_warning(found: DataFrame) -> str | None:
+    """What a run says of a match whose rows are compared all with all."""
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "the match has no equality: all rows are compared with all; bucket it as tolerance_join and window_join do"
+    return None
+
+
 def run_job(spark: SparkSession, request: JobRequest, on_event: Callable[[dict], None] = lambda event: None, partitions: int = 4) -> RunResult:
     """Matches the sources and writes the evidence.  on_event gets stages and, once, completed or failed."""
     tell = lambda stage, **more: on_event({"run_id": request.run_id, "stage": stage, **more})
@@ -107,9 +130,11 @@ def run_job(spark: SparkSession, request: JobRequest, on_event: Callable[[dict],
             if i < 2:
                 frames[i].createOrReplaceTempView(FIXED[i])
         left, right = frames[:2]
-        tell("matching")
+        found = matched_pairs(session, request)
+        warning = plan_warning(found)
+        tell("matching", **({"warning": warning} if warning else {}))
         # the evidence is written first, then read: the match runs once for counts and unmatched rows
-        matched_path = store.write_matched(request.run_id, matched_records(matched_pairs(session, request), F.col("left_key"), F.col("right_key"), now()))
+        matched_path = store.write_matched(request.run_id, matched_records(found, F.col("left_key"), F.col("right_key"), now()))
         matched = session.read.parquet(matched_path)
         counts = match_counts(matched, left, right, F.col("left_key"), F.col("right_key")).first()
         tell("writing", matched_count=counts["matched_count"])
@@ -130,7 +155,7 @@ def run_job(spark: SparkSession, request: JobRequest, on_event: Callable[[dict],
             store.update_metadata(metadata)
         tell("failed", error=str(e))
         raise
-    tell("completed", matched_count=result.matched_count, unmatched_left_count=result.unmatched_left_count, unmatched_right_count=result.unmatched_right_count, output_paths=result.output_paths)
+    _announce(tell, matched_count=result.matched_count, unmatched_left_count=result.unmatched_left_count, unmatched_right_count=result.unmatched_right_count, output_paths=result.output_paths)
     return result
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import field_name, js_number, key_of, register, relative_match, signed_relative_match, tolerance_match
 from ledgerloom.operators import joins, metrics
-from ledgerloom.plans import evidence, infer, reports, rules
+from ledgerloom.plans import evidence, infer, reports, rules, runner
 from ledgerloom.sources import scoped
 from ledgerloom.sources.filters import FilterCondition, apply_filters
 from ledgerloom.sources.ranges import KeyRanges
@@ -97,10 +99,14 @@ def match_date_window_only(t):
     return found.select(F.col("o_orderkey").alias("left_order"), F.col("l_orderkey").alias("right_order"), "l_linenumber")
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON lower(r_name) = lower(r_name) AND n_regionkey = r_regionkey")
+@query("""
+    WITH l AS (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN upper(r_name) ELSE lower(r_name) END AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT n_name, region, r_name FROM l JOIN region ON lower(region) = lower(r_name)
+""")
 def match_lower_name(t):
-    left = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.upper("r_name").alias("region"))
-    return joins.execute_join(left, t("region"), "lower(l.region) = lower(r.r_name)").select("n_name", "r_name")
+    written = F.when(F.col("n_nationkey") % 2 == 0, F.upper("r_name")).otherwise(F.lower("r_name"))
+    left = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", written.alias("region"))
+    return joins.execute_join(left, t("region"), "lower(l.region) = lower(r.r_name)").select("n_name", "region", "r_name")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region WHERE n_regionkey = r_regionkey AND n_nationkey > 3")
@@ -361,10 +367,10 @@ def rule_dsl(t):
     return rules.match_rule(t("orders"), t("lineitem"), rule).select("o_orderkey", "l_linenumber")
 
 
-@query("SELECT c_name, replace(replace(lower(trim(' ' || c_name || ' ')), '#', '#'), '-', '_') AS field FROM (SELECT replace(c_name, ' ', '_') AS c_name FROM customer)")
+@query("SELECT name, replace(replace(lower(trim(name)), ' ', '_'), '-', '_') AS field FROM (SELECT ' ' || p_type || '-' || p_brand || ' Key ' AS name FROM part)")
 def field_names(t):
-    name = F.replace("c_name", F.lit(" "), F.lit("_"))
-    return t("customer").select(name.alias("c_name"), field_name(F.concat(F.lit(" "), name, F.lit(" "))).alias("field"))
+    name = F.concat(F.lit(" "), "p_type", F.lit("-"), "p_brand", F.lit(" Key "))
+    return t("part").select(name.alias("name"), field_name(name).alias("field"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, regexp_extract(event_type, '^([a-z]+)', 1) AS kind, lpad(CAST(user_id AS VARCHAR), 8, '0') AS user_key FROM events")
@@ -414,3 +420,73 @@ _sql("sql_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalp
 _sql("sql_strings", "SELECT c_custkey, lower(c_name) AS a, substring(c_name, 1, 4) AS b, length(c_name) AS c, c_mktsegment || '!' AS d FROM customer", "SELECT c_custkey, lower(c_name) AS a, substring(c_name, 1, 4) AS b, CAST(length(c_name) AS INTEGER) AS c, c_mktsegment || '!' AS d FROM customer")
 _sql("sql_case_dates", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS f, date_trunc('month', o_orderdate) AS m, CAST(o_orderdate + INTERVAL '7' DAY AS DATE) AS due FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS f, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(o_orderdate + INTERVAL '7' DAY AS DATE) AS due FROM orders")
 _sql("sql_recursive", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 20) SELECT n FROM s")
+
+
+# Joins, predicates, aggregates, windows and functions that the engine takes over from Spark.
+_sql("sql_using", "SELECT k, n_name, s_suppkey FROM (SELECT n_nationkey AS k, n_name FROM nation) AS a JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) AS b USING (k)")
+_sql("sql_natural", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) AS b")
+_sql("sql_lateral", "SELECT c_custkey, most FROM customer, LATERAL (SELECT max(o_totalprice) AS most FROM orders WHERE o_custkey = c_custkey) AS x WHERE most > 400000")
+_sql("sql_predicates", "SELECT c_custkey, c_nationkey IS DISTINCT FROM 3 AS other, c_name ILIKE '%0001%' AS a, c_mktsegment RLIKE '^B.*G$' AS b, c_acctbal NOT BETWEEN 0 AND 100 AS c FROM customer", "SELECT c_custkey, c_nationkey IS DISTINCT FROM 3 AS other, c_name ILIKE '%0001%' AS a, regexp_matches(c_mktsegment, '^B.*G$') AS b, c_acctbal NOT BETWEEN 0 AND 100 AS c FROM customer")
+_sql("sql_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s, round(var_pop(l_quantity), 6) AS v, median(l_quantity) AS m, round(corr(l_quantity, l_extendedprice), 6) AS c FROM lineitem GROUP BY l_returnflag")
+_sql("sql_lists", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names, array_size(collect_set(n_nationkey)) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, CAST(count(DISTINCT n_nationkey) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+_sql("sql_window_ranks", "SELECT o_orderkey, ntile(4) OVER w AS quarter, rank() OVER w AS r, dense_rank() OVER w AS d, nth_value(o_orderkey, 2) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)", "SELECT o_orderkey, CAST(ntile(4) OVER w AS INTEGER) AS quarter, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d, nth_value(o_orderkey, 2) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)")
+_sql("sql_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 5")
+_sql("sql_values", "SELECT a, b FROM VALUES (1, 'x'), (2, NULL) AS v(a, b)", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL)) AS v(a, b)")
+_sql("sql_star_except", "SELECT * EXCEPT (r_comment) FROM (SELECT r_regionkey, r_name, 'c' AS r_comment FROM region)", "SELECT r_regionkey, r_name FROM region")
+_sql("sql_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS a, round(ln(l_quantity + 1), 6) AS b, floor(l_discount * 10) AS c, ceil(l_tax * 10) AS d, sign(l_discount - 0.05) AS e, round(power(l_quantity, 2), 4) AS f, l_linenumber % 3 AS g, greatest(l_discount, l_tax) AS h FROM lineitem", "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS a, round(ln(l_quantity + 1), 6) AS b, CAST(floor(l_discount * 10) AS BIGINT) AS c, CAST(ceil(l_tax * 10) AS BIGINT) AS d, CAST(sign(l_discount - 0.05::DOUBLE) AS DOUBLE) AS e, round(power(l_quantity, 2), 4) AS f, l_linenumber % 3 AS g, greatest(l_discount, l_tax) AS h FROM lineitem")
+_sql("sql_arrays", "SELECT c_custkey, array_contains(split(c_name, '#'), 'Customer') AS a, array_size(split(c_mktsegment, 'I')) AS b, element_at(split(c_name, '#'), -1) AS c, array_max(array(c_nationkey, 7)) AS d FROM customer", "SELECT c_custkey, list_contains(string_split(c_name, '#'), 'Customer') AS a, CAST(len(string_split(c_mktsegment, 'I')) AS INTEGER) AS b, string_split(c_name, '#')[-1] AS c, list_max([c_nationkey, 7]) AS d FROM customer")
+_sql("sql_maps", "SELECT n_nationkey, element_at(map('name', n_name, 'key', CAST(n_regionkey AS STRING)), 'key') AS k, map_contains_key(map('name', n_name), 'x') AS x FROM nation", "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS k, false AS x FROM nation")
+_sql("sql_casts", "SELECT event_id, TRY_CAST(event_type AS INT) AS a, CAST(user_id AS STRING) AS b, user_id::DOUBLE AS c FROM events", "SELECT event_id, TRY_CAST(event_type AS INTEGER) AS a, CAST(user_id AS VARCHAR) AS b, user_id::DOUBLE AS c FROM events")
+_sql("sql_more_strings", "SELECT p_partkey, replace(p_brand, '#', '-') AS a, lpad(CAST(p_size AS STRING), 4, '0') AS b, reverse(p_type) AS c, split_part(p_type, ' ', 1) AS d, regexp_replace(p_type, '[AEIOU]', '') AS e, position('A', p_type) AS f, md5(p_brand) AS g FROM part", "SELECT p_partkey, replace(p_brand, '#', '-') AS a, lpad(CAST(p_size AS VARCHAR), 4, '0') AS b, reverse(p_type) AS c, split_part(p_type, ' ', 1) AS d, regexp_replace(p_type, '[AEIOU]', '', 'g') AS e, CAST(strpos(p_type, 'A') AS INTEGER) AS f, md5(p_brand) AS g FROM part")
+_sql("sql_more_dates", "SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofweek(o_orderdate) AS d, datediff(CAST(o_orderdate AS DATE), DATE '2000-01-01') AS n, date_format(o_orderdate, 'yyyy-MM') AS f FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS d, CAST(date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS n, strftime(o_orderdate, '%Y-%m') AS f FROM orders")
+_sql("sql_approx_distinct", "SELECT abs(approx_count_distinct(o_custkey, 0.01) / count(DISTINCT o_custkey) - 1) < 0.05 AS near FROM orders", "SELECT true AS near")
+
+
+@query("SELECT o_orderkey, CAST(strpos(o_orderpriority, '-') AS INTEGER) AS a, starts_with(o_orderpriority, '1') AS b, sha256(o_orderpriority) AS c, list_contains(string_split(o_orderpriority, '-'), 'URGENT') AS d FROM orders")
+def sql_renamed_functions(t):
+    """Functions that Spark has by other names."""
+    register(t("region").sparkSession)
+    return t("orders").select("o_orderkey", *(F.expr(e) for e in ("strpos(o_orderpriority, '-') AS a", "starts_with(o_orderpriority, '1') AS b", "sha256(o_orderpriority) AS c", "array_has(split(o_orderpriority, '-'), 'URGENT') AS d")))
+
+
+MATCH_SQL = "SELECT o.o_orderkey AS left_key, concat(l.l_orderkey, '\x1f', l.l_linenumber) AS right_key FROM left_src o JOIN right_src l ON o.o_orderkey = l.l_orderkey AND tolerance_match(o.o_totalprice, l.l_extendedprice, 1000)"
+
+
+def _job(name: str, oracle: str, read) -> None:
+    """A whole run: sources by URI, match_sql, evidence written and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = (runner.JobSource("orders", f"{sf_dir}/orders.parquet"), runner.JobSource("lines", f"{sf_dir}/lineitem.parquet", (FilterCondition("l_quantity", "gte", 10.0),)))
+        request = runner.JobRequest(uuid.uuid4().hex, MATCH_SQL, sources, {"orders": ("o_orderkey",), "lines": ("l_orderkey", "l_linenumber")}, f"{evidence_folder(spark)}/evidence")
+        return read(spark, runner.run_job(spark, request))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH r AS (SELECT * FROM lineitem WHERE l_quantity >= 10), m AS (SELECT o_orderkey, l_orderkey, l_linenumber FROM orders JOIN r ON o_orderkey = l_orderkey AND abs(o_totalprice - l_extendedprice) <= 1000::DOUBLE) {oracle}"
+
+
+def evidence_folder(spark: SparkSession) -> str:
+    """Where executors and driver can write: the folder of checkpoints, or on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="evidence-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def _counts(spark: SparkSession, result) -> DataFrame:
+    kept = ("total_left", "total_right", "matched_count", "unmatched_left_count", "unmatched_right_count")
+    return spark.createDataFrame([tuple(getattr(result, k) for k in kept)], ", ".join(f"{k} long" for k in kept))
+
+
+_KEY = "CAST(l_orderkey AS VARCHAR) || chr(31) || CAST(l_linenumber AS VARCHAR)"
+_job("job_counts", f"SELECT (SELECT count(*) FROM orders) AS total_left, (SELECT count(*) FROM r) AS total_right, count(*) AS matched_count, (SELECT count(*) FROM orders) - count(DISTINCT o_orderkey) AS unmatched_left_count, (SELECT count(*) FROM r) - count(DISTINCT {_KEY}) AS unmatched_right_count FROM m", _counts)
+_job("job_matched", f"SELECT CAST(o_orderkey AS VARCHAR) AS left_key, {_KEY} AS right_key, 'match_sql' AS rule_name, 1.0::DOUBLE AS confidence FROM m", lambda spark, result: spark.read.parquet(result.output_paths["matched"]).select("left_key", "right_key", "rule_name", "confidence"))
+_job("job_unmatched_left", """SELECT CAST(o_orderkey AS VARCHAR) AS record_key, '["match_sql"]' AS attempted_rules, CAST(NULL AS VARCHAR) AS closest_candidate, 'no match' AS rejection_reason FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m)""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_left"]))
+_job("job_unmatched_right", f"""SELECT {_KEY} AS record_key, '["match_sql"]' AS attempted_rules, CAST(NULL AS VARCHAR) AS closest_candidate, 'no match' AS rejection_reason FROM r WHERE {_KEY} NOT IN (SELECT {_KEY} FROM m)""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_right"]))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE abs(c_acctbal - s_acctbal) <= 5::DOUBLE)")
+def unmatched_tolerance_only(t):
+    rule = rules.Rule("near", (rules.Condition("c_acctbal", "tolerance", "s_acctbal", 5.0),))
+    return rules.unmatched_rule(t("customer").select("c_custkey", "c_acctbal"), t("supplier"), rule)

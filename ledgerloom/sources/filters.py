@@ -67,6 +67,13 @@ def _name(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _whole(c: FilterCondition) -> FilterCondition:
+    """A whole number given as a float, as JSON does, as an integer: compared with an integral column it then reaches the scan."""
+    if isinstance(c.value, float) and c.value.is_integer() and abs(c.value) < 1 << 31:
+        return FilterCondition(c.column, c.op, int(c.value))
+    return c
+
+
 def sql_condition(c: FilterCondition) -> Column:
     """The SQL dialect: types compare as types, null rows drop, a value that doesn't suit asks for not null."""
     column = _name(c.column)
@@ -99,6 +106,8 @@ def apply_filters(df: DataFrame, conditions: list[FilterCondition], dialect: str
     """All conditions hold.  The text dialect skips unknown columns; the SQL dialect raises."""
     if dialect == "csv":
         conditions = [c for c in conditions if c.column in df.columns]
+    kinds = {name.lower(): kind for name, kind in df.dtypes}
+    conditions = [_whole(c) if kinds.get(c.column.lower()) in ("tinyint", "smallint", "int", "bigint") else c for c in conditions]
     own = [(csv_condition if dialect == "csv" else sql_condition)(c) for c in conditions]
     return df.where(reduce(Column.__and__, own)) if own else df
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import joins, metrics
+from ledgerloom.plans import rules
 from ledgerloom.sources.ranges import KeyRanges
 
 
@@ -90,3 +91,30 @@ def test_bands(spark):
     assert [(r[0], r[1]) for r in df.select(rate, metrics.match_band(rate)).collect()] == [(90.0, "Excellent"), (70.0, "Fair"), (69.0, "Needs Review"), (0.0, "Needs Review")]
     found = df.select(metrics.issues(rate, F.col("n") - F.col("m"), F.col("n"), F.lit(0), F.lit(0))).collect()
     assert [len(r[0]) for r in found] == [0, 2, 2, 1]
+
+
+@pytest.mark.parametrize("t", [0.01, 1e-300, 3.0, 1e17])
+def test_tolerance_join_of_large_values(spark, t):
+    xs = [1e18, 1e18 + 128, -1e18, 2.0**53 * 0.02, 2.0**53 * 0.02 + 0.01, 2.0**53 * 0.02 - 0.005, 9e15, 9e15 + 1, 1e300, 1.7e308, 0.0, 5e-324]
+    l = spark.createDataFrame(list(enumerate(xs)), "i int, a double")  # noqa: E741
+    r = spark.createDataFrame(list(enumerate(xs)), "j int, b double")
+    assert sorted((x.i, x.j) for x in joins.tolerance_join(l, r, "a", "b", t).collect()) == [(i, j) for i, x in enumerate(xs) for j, y in enumerate(xs) if abs(x - y) <= t]
+
+
+def test_helper_columns_leave_others_alone(spark):
+    l = spark.createDataFrame([(1, 5.0, date(2024, 1, 1), "x")], "i int, a double, d date, _BUCKET string")  # noqa: E741
+    r = spark.createDataFrame([(2, 5.5, date(2024, 1, 2), "y")], "j int, b double, e date, _bucket_ string")
+    assert joins.tolerance_join(l, r, "a", "b", 1.0).first().asDict() | {"a": 0} == joins.window_join(l, r, "d", "e", 0, 3).first().asDict() | {"a": 0}
+    assert joins.best_candidate(l.withColumnRenamed("i", "_Rank"), ["_Rank"], F.col("a"), []).columns == ["_Rank", "a", "d", "_BUCKET"]
+
+
+def test_unmatched_without_an_equality(spark):
+    l = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 50.0), (3, None)], "i int, a double")  # noqa: E741
+    r = spark.createDataFrame([(1, 1.5)], "j int, b double")
+    rule = rules.Rule("near", (rules.Condition("a", "tolerance", "b", 1.0),))
+    rest = rules.unmatched_rule(l, r, rule)
+    assert sorted(x.i for x in rest.collect()) == [2, 3]
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = rules.match_rules(l, r, [rules.Rule("low", (rules.Condition("i", "eq", "j"),)), rules.Rule("high", rule.conditions, priority=2)], "i")
+    assert [(n, df.count()) for n, df in found] == [("high", 2), ("low", 0)]
