@@ -1,14 +1,15 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-The model is fitted with Spark aggregates on a bounded sample of labelled rows, at most ``SAMPLE`` documents, those of
-least hash.  A word seen ``KNOWN`` times or more is scored by its log frequency in each language; any other word by the
+The model is fitted with Spark aggregates on a bounded sample of labelled rows: at most ``SAMPLE`` documents of at most
+``LONGEST_TEXT`` characters, of each language as many, or all it has, and those of least hash.  A word seen ``KNOWN`` times or more is scored by its log frequency in each language; any other word by the
 mean log frequency of its n-grams of the greatest length, ``LONGEST`` downwards, of which at least one was seen that often.  The
 scores of a text's words add up; the softmax of the sums gives the language and the score.  The tables of the fitted
 model are bounded by the sample and go to the tasks as a broadcast; prediction is one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0; a text of which nothing is known gives
 the first language with an even score; ties go to the language that sorts first; a null doc_id is never learnt from and
-not held out; without any labelled row every prediction is ``und``.
+not held out; without any labelled row, as in an empty table, every prediction is ``und``; repeated rows count as often as they
+occur, within the bound; very long texts are predicted whole; kept columns may have any name but those of the prediction.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import DBL, STR, durable, map_rows
 
-SAMPLE, KNOWN, LONGEST, FOLDS, MEMO = 2000, 2, 5, 5, 1 << 17
+SAMPLE, LONGEST_TEXT, KNOWN, LONGEST, FOLDS, MEMO = 4000, 200_000, 2, 5, 5, 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -32,11 +33,15 @@ def held_out() -> F.Column:
 
 
 def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """lang, text of the labelled documents of least hash; only ids are looked at to find the bound."""
-    order = F.xxhash64("doc_id")
-    may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    last = may.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    return may.where(order <= (last if last is not None else 0)).select("lang", "text")
+    """lang, text of the labelled documents of least hash of each language; only hashes are compared to find the bounds."""
+    may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= LONGEST_TEXT))
+    may = may.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    each = max(1, size // max(1, may.select("lang").distinct().count()))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = durable(may.select("lang", "h").withColumn("n", first).where(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last")))
+    # rows that repeat share a hash, so that the last of them may be beyond the bound
+    near = may.join(last, "lang").where("h <= last").withColumn("n", first)
+    return near.where(F.col("n") <= each).select("lang", "text")
 
 
 def count_tables(sample: DataFrame, known: int = KNOWN, longest: int = LONGEST) -> DataFrame:

@@ -48,3 +48,66 @@ def test_memo_may_overflow(monkeypatch, spark):
     plain = model.predictor()(text)
     monkeypatch.setattr(langid, "MEMO", 7)
     assert model.predictor()(text)[0] == plain[0] and abs(model.predictor()(text)[1] - plain[1]) < 1e-9
+
+
+def test_rare_languages_are_learnt_and_repeated_rows_stay_within_the_bound(spark):
+    import zlib
+
+    rare = [i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 5][:3]
+    rows = [(i, f"the of and to that word{i % 50}", "en") for i in range(3000)] + [(i, "zyx wvut quorl blint", "xx") for i in rare] + [(7777, "the same row again and again", "en")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_of(docs, 400)
+    by = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert by["xx"] == 3 and by["en"] <= 200
+    asked = spark.createDataFrame([(1, "quorl blint"), (2, "that of the")], "id long, text string")
+    assert {r.id: r.lang_pred for r in langid.identify(asked, ["id"], langid.fit(docs)).collect()} == {1: "xx", 2: "en"}
+
+
+def test_scores_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    syllables = {"aa": ["ba", "lo", "mi", "ru"], "bb": ["chk", "tro", "zin", "ba"], "cc": ["eau", "mi", "oi", "le"]}
+    word = lambda k: "".join(rng.choice(syllables[k]) for _ in range(rng.randrange(1, 4)))
+    rows = [(i, " ".join(word(k) for _ in range(rng.randrange(1, 12))), k) for i, k in enumerate(rng.choice(list(syllables)) for _ in range(120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = [(r.lang, r.text) for r in langid.sample_of(docs).collect()]
+    words, grams, langs = Counter(), Counter(), sorted(syllables)
+    for k, text in sample:
+        for w in text.split():
+            words[w, k] += 1
+            for n in range(1, langid.LONGEST + 1):
+                for i in range(len(w) + 2 - n + 1):
+                    grams[n, f"<{w}>"[i : i + n], k] += 1
+    total = lambda w: sum(words[w, k] for k in langs)
+    table = {(0, w): [words[w, k] for k in langs] for w, _ in words if total(w) >= langid.KNOWN}
+    for n, g, _ in grams:
+        own = [grams[n, g, k] if grams[n, g, k] >= langid.KNOWN else 0 for k in langs]
+        if any(own):
+            table[n, g] = own
+    smooth = lambda own: [x + 0.5 if x else 0.5 for x in own]
+    sums = {n: [sum(smooth(own)[j] for (m, _), own in table.items() if m == n) for j in range(3)] for n in range(langid.LONGEST + 1)}
+    log = lambda n, g: [math.log(x / y) for x, y in zip(smooth(table[n, g]), sums[n], strict=True)]
+
+    def plain(text):
+        score = [0.0] * 3
+        for w in text.split():
+            if (0, w) in table:
+                own = log(0, w)
+            else:
+                own = [0.0] * 3
+                for n in range(min(langid.LONGEST, len(w) + 2), 0, -1):
+                    seen = [log(n, g) for g in (f"<{w}>"[i : i + n] for i in range(len(w) + 2 - n + 1)) if (n, g) in table]
+                    if seen:
+                        own = [sum(x) / len(seen) for x in zip(*seen, strict=True)]
+                        break
+            score = [a + b for a, b in zip(score, own, strict=True)]
+        p = [math.exp(x - max(score)) for x in score]
+        return langs[p.index(max(p))], max(p) / sum(p)
+
+    predict = langid.fit(docs).predictor()
+    for text in [" ".join(word(rng.choice(langs)) for _ in range(rng.randrange(1, 8))) for _ in range(200)] + ["qqq", "baq"]:
+        got, want = predict(text), plain(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
