@@ -101,7 +101,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def free_name(name: str, taken: list[str]) -> str:
-    while name in taken:
+    """A name that none of the taken ones is, in any case, as Spark's columns are."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
         name += "_"
     return name
 

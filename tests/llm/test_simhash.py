@@ -160,3 +160,10 @@ def test_prefixes_of_similar_sets_meet():
         y = np.unique(np.r_[rng.permutation(x)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)])
         if simhash.agree(x, y):
             assert len(np.intersect1d(simhash.prefix(x, digits), simhash.prefix(y, digits)))
+
+
+def test_columns_whose_names_differ_in_case_only_stay(spark):
+    rows = [(i, f"some words of document {i % 3} that repeat here", i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ROW_HASH int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["ROW_HASH"] for r in kept.collect()) == [0, 1, 2]
