@@ -23,8 +23,8 @@ def build(values: DataFrame, column: str):
     places = F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - BITS).bitwiseAND(mask))
     words = values.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b"))
     bits = np.zeros(1 << BITS - 5, np.int64)
-    for w, b in words.toLocalIterator(prefetchPartitions=True):
-        bits[w] = b
+    got = words.toArrow()  # at most as many rows as the filter has words
+    bits[got["w"].to_numpy()] = got["b"].to_numpy()
     return values.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
 
 

@@ -17,11 +17,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import DBL, STR, durable, map_rows
+from ledgerloom.llm.common import DBL, STR, durable, map_rows, release_memory
 
 SAMPLE, LONGEST_TEXT, KNOWN, LONGEST, FOLDS, MEMO = 4000, 200_000, 2, 5, 5, 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,16 +61,17 @@ class Model:
     """Log frequencies: for each n a dictionary from gram to row of a table with a column for each language."""
 
     def __init__(self, counts):
-        self.langs = sorted(set(counts["lang"]))
+        self.langs = sorted(set(counts["lang"].to_pylist()))
         place = {x: i for i, x in enumerate(self.langs)}
         self.index: dict[int, dict[str, int]] = {}
         self.table: dict[int, np.ndarray] = {}
-        for n, own in counts.groupby("n"):
+        for n in sorted(set(counts["n"].to_pylist())):
+            own = counts.filter(pc.equal(counts["n"], n))
             index: dict[str, int] = {}
-            rows = [index.setdefault(g, len(index)) for g in own["gram"]]
+            rows = [index.setdefault(g, len(index)) for g in own["gram"].to_pylist()]
             self.index[n] = index
             table = np.full((len(index), len(self.langs)), 0.5)
-            np.add.at(table, (rows, [place[x] for x in own["lang"]]), own["count"].to_numpy())
+            np.add.at(table, (rows, [place[x] for x in own["lang"].to_pylist()]), own["count"].to_numpy())
             self.table[n] = np.log(table / table.sum(axis=0))
 
     def unseen(self, word: str) -> np.ndarray:
@@ -118,7 +120,9 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """The tables hold a row for each word and n-gram of the bounded sample, and go through the driver."""
-    return Model(count_tables(sample_of(docs)).toPandas())
+    model = Model(count_tables(sample_of(docs)).toArrow())
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:

@@ -346,8 +346,8 @@ def _commonness(docs: DataFrame, width: int):
 
     digits = np.zeros(1 << SLOTS, np.uint8)
     counted = map_batches(docs.select("text"), run, struct(slot=INT, n=LONG)).groupBy("slot").agg(F.sum("n").alias("n"))
-    for slot, n in counted.toLocalIterator(prefetchPartitions=True):
-        digits[slot] = n.bit_length()
+    got = counted.toArrow()  # at most 2**SLOTS rows
+    digits[got["slot"].to_numpy()] = np.frexp(got["n"].to_numpy().astype(np.float64))[1]
     return docs.sparkSession.sparkContext.broadcast(digits)
 
 

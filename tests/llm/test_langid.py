@@ -33,7 +33,7 @@ def test_odd_documents(odd_docs, no_docs):
 
 def test_backoff_takes_the_longest_known_grams(spark):
     rows = [(i, "aa", "lalala lilili lololo lalala") for i in range(40)] + [(i + 100, "bb", "kukuku kikiki kokoko kukuku") for i in range(40)]
-    model = langid.Model(langid.count_tables(spark.createDataFrame([r[1:] for r in rows], "lang string, text string")).toPandas())
+    model = langid.Model(langid.count_tables(spark.createDataFrame([r[1:] for r in rows], "lang string, text string")).toArrow())
     predict = model.predictor()
     assert predict("lalala")[0] == "aa" and predict("lalakuku kuku")[0] == "bb" and predict("lala")[0] == "aa"
     assert predict("zzzz")[1] == 0.5 and predict("12 !!") == ("und", 0.0)
@@ -43,7 +43,7 @@ def test_backoff_takes_the_longest_known_grams(spark):
 
 
 def test_memo_may_overflow(monkeypatch, spark):
-    model = langid.Model(langid.count_tables(spark.createDataFrame([("aa", "one two one two"), ("bb", "uno dos uno dos")], "lang string, text string")).toPandas())
+    model = langid.Model(langid.count_tables(spark.createDataFrame([("aa", "one two one two"), ("bb", "uno dos uno dos")], "lang string, text string")).toArrow())
     text = " ".join(f"w{c}{d}" for c in "abcdefghij" for d in "klmnopqrst")
     plain = model.predictor()(text)
     monkeypatch.setattr(langid, "MEMO", 7)
