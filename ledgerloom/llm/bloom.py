@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches
+from ledgerloom.llm.common import map_batches, release_memory
 
 BITS, REMEMBERED = 25, 200_000
 
@@ -25,6 +25,8 @@ def build(values: DataFrame, column: str):
     bits = np.zeros(1 << BITS - 5, np.int64)
     got = words.toArrow()  # at most as many rows as the filter has words
     bits[got["w"].to_numpy()] = got["b"].to_numpy()
+    del got
+    release_memory()
     return values.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
 
 

@@ -13,16 +13,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star contractions until nothing changes: each links a node's larger, then its
     smaller neighbours to its least one.  The least neighbour is pre-aggregated and met again by a join that Spark can
-    split, so that a node with very many links isn't one task's.  Every round is checkpointed; nothing but two sums
+    split, so that a node with very many links isn't one task's.  Every round is checkpointed twice, after each contraction; nothing but two sums
     that tell whether a round changed anything goes to the driver."""
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _sums(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = durable(large)
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").unionByName(least.select(F.col("u").alias("v"), "m"))
         edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         after = _sums(edges)
