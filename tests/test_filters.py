@@ -78,3 +78,9 @@ def test_chips():
     ]
     assert chip_conditions(chips, "left", ["d", "amount"]) == [C("d", "between", ["1", "2"]), C("amount", "gte", 5), C("d", "eq", "z")]
     assert chip_conditions(chips, "right", ["pd", "name"]) == [C("pd", "between", ["1", "2"]), C("name", "like", "%acme%")]
+
+
+def test_whole_floats_reach_the_scan(spark, sf_dir):
+    df = apply_filters(spark.read.parquet(f"{sf_dir}/orders.parquet"), [C("o_custkey", "eq", 7.0), C("o_totalprice", "gt", 5.0)]).select("o_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_custkey,7)" in plan and "GreaterThan(o_totalprice,5.0)" in plan
