@@ -10,7 +10,8 @@ others, which prunes from the start.  Queries are sent in blocks of ``BLOCK``, s
 block, is bounded; a vector goes to every block and a query to every shard, as an exact search of all rows needs.
 
 Defined cases: a vector that is null, or holds a null or a non-finite component, takes no part; ties go to the smaller
-id; rows with equal ids and vectors are all candidates, but for the query's own id, and ask once; vectors of unequal length are
+id; rows with equal ids and vectors are all candidates, but for the query's own id, and ask once; rows of one id with
+unequal vectors ask together, so that the k best scores of any of them are returned; vectors of unequal length are
 compared as if padded with zeros; an empty table gives no row.
 """
 
