@@ -1,8 +1,9 @@
 """BPE encoding and decoding by a table of distinct words.
 
 1. Split: documents are gathered in blocks; a block numbers its distinct words, so that a text is a row of numbers.
-2. Words: the distinct words of all blocks are dealt by a hash over parts; a part encodes each of its words once,
-   however many blocks hold it, and returns the ids to the blocks.
+2. Words: the distinct words of all blocks are dealt by a hash over parts.  A part takes the lists of one block after the
+   other, encodes each of its words once, however many blocks hold it, and returns the ids to the blocks; it holds
+   one list and the ids of at most ``REMEMBERED`` words, whatever the number of blocks.
 3. Join back: a block's numbered texts meet its words' ids by position; the piece strings of the ids come from the
    id-to-piece table, which has one row per id of the vocabulary and is broadcast, its size being fixed.
 
@@ -11,7 +12,8 @@ distinct words as a newline-joined list per part, and their ids.  The table must
 each time it is read, as files do; a block whose words can't be found raises an error instead of giving wrong ids.
 
 Defined cases: a null text is empty, with no ids and an empty decoded text; special strings in a text are encoded as the
-library does; repeated rows give repeated rows; an empty table gives no row.
+library does; a text longer than a block is a block of its own; repeated rows, also whole repeated blocks, give repeated
+rows; other columns, whatever their names, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import BIN, INT, LONG, STR, map_rows, shuffle_width, struct
 
 BLOCK = 32 << 20
+#: Words whose ids a task keeps.  One with more starts anew, and may encode a word again; the result is the same.
+REMEMBERED = 1 << 20
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 #: The split of the vocabulary's own pattern, for texts whose characters are all in PLAIN.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
@@ -93,12 +97,12 @@ def parts_of(words: list[str], parts: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts for w in words), np.int64, len(words))
 
 
-def encode(docs: DataFrame, json_path: str, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, json_path: str, block: int = BLOCK, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary UTF-8 text)."""
-    return _joined(docs, json_path, block, struct(ids=BIN, decoded=BIN), lambda ids, text: (ids, text))
+    return _joined(docs, json_path, block, remembered, struct(ids=BIN, decoded=BIN), lambda ids, text: (ids, text))
 
 
-def _joined(docs: DataFrame, json_path: str, block: int, columns: T.StructType, give) -> DataFrame:
+def _joined(docs: DataFrame, json_path: str, block: int, remembered: int, columns: T.StructType, give) -> DataFrame:
     spark = docs.sparkSession
     parts, docs = shuffle_width(spark), docs.select("doc_id", "text")
     vocab = spark.sparkContext.broadcast(open(json_path, "rb").read())
@@ -119,15 +123,19 @@ def _joined(docs: DataFrame, json_path: str, block: int, columns: T.StructType,
             for doc_id, codes in zip(ids, coded, strict=True):
                 yield key, doc_id, place[codes].astype("<u4").tobytes()
 
-    def encoded(table: pa.Table) -> pa.Table:
-        lists = [w.split("\n") for w in table["words"].to_pylist()]
-        distinct = sorted(set().union(*lists))
-        found = library(vocab.value).encode_batch(distinct, add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(distinct, found, strict=True)}
-        sizes = [np.array([len(ids[w]) // 4 for w in ws], "<u4").tobytes() for ws in lists]
-        narrow = lambda b: np.frombuffer(b, "<u4").astype("<u2" if small else "<u4").tobytes()
-        small = library(vocab.value).get_vocab_size(with_added_tokens=True) <= 1 << 16
-        return pa.table({"block": table["block"], "part": table["part"], "sizes": sizes, "ids": [narrow(b"".join([ids[w] for w in ws])) for ws in lists]})
+    def encoded(it):
+        tokenizer = library(vocab.value)
+        kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        width, known = int(kind[2]), {}
+        for part, key, listed in it:
+            words = listed.split("\n")
+            fresh = [w for w in words if w not in known]
+            if len(known) + len(fresh) > remembered:
+                known, fresh = {}, words
+            found = tokenizer.encode_batch(fresh, add_special_tokens=False)
+            known.update(zip(fresh, (np.array(e.ids, kind).tobytes() for e in found), strict=True))
+            own = [known[w] for w in words]
+            yield key, part, np.array([len(ids) // width for ids in own], "<u4").tobytes(), b"".join(own)
 
     arrow = pa.schema([("doc_id", pa.int64())] + [(f.name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString().replace("bigint", "long")]) for f in columns])
 
@@ -153,7 +161,7 @@ def _joined(docs: DataFrame, json_path: str, block: int, columns: T.StructType,
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
     listed = map_rows(docs, words_of_blocks, struct(part=INT, block=LONG, words=STR))
-    ids = listed.groupBy("part").applyInArrow(encoded, struct(block=LONG, part=INT, sizes=BIN, ids=BIN))
+    ids = map_rows(listed.repartition("part"), encoded, struct(block=LONG, part=INT, sizes=BIN, ids=BIN))
     texts = map_rows(docs, texts_of_blocks, T.StructType([T.StructField("block", LONG), docs.schema["doc_id"], T.StructField("codes", BIN)]))
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(back, T.StructType([docs.schema["doc_id"], *columns.fields]))
 
@@ -161,4 +169,4 @@ def _joined(docs: DataFrame, json_path: str, block: int, columns: T.StructType,
 def op3_bpe(docs: DataFrame, json_path: str) -> DataFrame:
     """Only digests leave a block."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return _joined(docs, json_path, BLOCK, struct(n_tokens=LONG, ids_sha256=STR, decoded_sha256=STR), lambda ids, text: (len(ids) // 4, sha(ids), sha(text)))
+    return _joined(docs, json_path, BLOCK, REMEMBERED, struct(n_tokens=LONG, ids_sha256=STR, decoded_sha256=STR), lambda ids, text: (len(ids) // 4, sha(ids), sha(text)))
