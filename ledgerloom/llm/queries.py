@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, html_text, langid, license, media, packing, pii, simhash, substring, topk, turns
+from ledgerloom.llm import bpe, html_text, langid, license, media, packing, pii, simhash, substring, topk, turns, whiten
 from ledgerloom.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.op11_whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.op12_repair(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_whiten": op11_whiten,
     "op12_repair": op12_repair,
 }
 
