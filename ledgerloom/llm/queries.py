@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, html_text, langid, license, media, packing, pii, simhash, substring, topk, turns, whiten
+from ledgerloom.llm import bpe, html_text, langid, license, media, packing, pii, simhash, substring, topk, turns, vptree, whiten
 from ledgerloom.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.op12_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.op13_vptree(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_substring": op2_substring,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_whiten": op11_whiten,
     "op12_repair": op12_repair,
+    "op13_vptree": op13_vptree,
 }
 
 _NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in n)) for n in license.notices())
