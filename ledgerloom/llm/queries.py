@@ -169,4 +169,51 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op12_repair": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+        ), marked AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda p: CAST(ascii(k[p]) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS crc
+            FROM keyed
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN crc = 4 THEN 'user' ELSE role END AS role,
+                CASE crc WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE crc WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM marked
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM damaged
+        ), turns AS (
+            SELECT conv_id, i, turn, role, text, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+                CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM numbered
+        ), told AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+                count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM turns GROUP BY conv_id
+        ), ids AS (SELECT DISTINCT conv_id FROM conversations),
+        -- state: what the last turn left is (0 none, 1 system, 2 user, 3 assistant); filled: the state after so many inserted turns
+        fills(state, inserts, filled, added) AS (VALUES
+            (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+            (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])
+        ), edits(edit, filled, initial, state, price) AS (VALUES
+            ('D', 0, NULL, 0, 4), ('D', 1, NULL, 1, 4), ('D', 2, NULL, 2, 4), ('D', 3, NULL, 3, 4), ('R', 0, NULL, 2, 3), ('R', 1, NULL, 2, 3), ('R', 2, NULL, 3, 3), ('R', 3, NULL, 2, 3),
+            ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('K', 3, 'u', 2, 0)
+        ), best AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS kept FROM ids
+            UNION ALL
+            SELECT conv_id, i, state, cost, audit, kept FROM (
+                SELECT b.conv_id, t.i, e.state, b.cost + 3 * f.inserts + e.price + CASE WHEN t.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost, b.audit || repeat('I', f.inserts) || e.edit AS audit,
+                    list_concat(list_concat(b.kept, f.added), CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE e.state WHEN 2 THEN 'user:' ELSE 'assistant:' END || t.text] END) AS kept
+                FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1 JOIN fills f ON f.state = b.state
+                    JOIN edits e ON e.filled = f.filled AND (e.initial IS NULL OR e.initial = t.initial) AND (e.edit = 'D' OR t.fault IN ('', 'truncated'))
+            ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+        ), ended AS (
+            SELECT b.conv_id, b.cost + 3 * f.inserts AS cost, b.audit || repeat('I', f.inserts) AS audit, list_concat(b.kept, f.added) AS kept
+            FROM best b LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM b.conv_id JOIN fills f ON f.state = b.state AND f.filled IN (0, 3)
+            WHERE b.i = coalesce(told.n, 0) QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + 3 * f.inserts, b.audit || repeat('I', f.inserts)) = 1
+        )
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(kept, chr(10))) AS repaired_sha256
+        FROM ended e LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
 }

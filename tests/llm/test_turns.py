@@ -135,3 +135,11 @@ def test_codes_are_prefix_free_and_ordered():
     for a, b in itertools.permutations(turns.CODES, 2):
         assert not b.startswith(a)
     assert turns.CODES == ["D", "ID", "IID", "IIK", "IIR", "IK", "IR", "K", "R"]
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf_dir}/conversations.parquet')")
+    assert {tuple(r) for r in queries.op12_repair(spark, sf_dir).collect()} == set(con.sql(queries.ORACLES["op12_repair"]).fetchall())
