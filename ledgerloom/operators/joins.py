@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import tolerance_match
 from ledgerloom.sources.ranges import KeyRanges
@@ -47,11 +48,75 @@ def unmatched(left: DataFrame, right: DataFrame, condition: str | Column) -> Dat
     return left.alias("l").join(right.alias("r"), F.expr(condition) if isinstance(condition, str) else condition, "left_anti")
 
 
+def comparable(column: Column, kind: T.DataType) -> Column:
+    """A value that is equal where the column is, also for maps, which have no equality of their own."""
+    if isinstance(kind, T.MapType):
+        key, value = (lambda e: comparable(e["key"], kind.keyType)), (lambda e: comparable(e["value"], kind.valueType))
+        return F.sort_array(F.transform(F.map_entries(column), lambda e: F.struct(key(e).alias("key"), value(e).alias("value"))))
+    if isinstance(kind, T.ArrayType) and not plain(kind):
+        return F.transform(column, lambda e: comparable(e, kind.elementType))
+    if isinstance(kind, T.StructType) and not plain(kind):
+        return F.when(column.isNotNull(), F.struct(*(comparable(column[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(kind.fields))))
+    return column
+
+
+def plain(kind: T.DataType) -> bool:
+    """Whether Spark can compare values of this type."""
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(kind, T.ArrayType):
+        return plain(kind.elementType)
+    return all(plain(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else True
+
+
 def unmatched_of(left: DataFrame, matched: DataFrame) -> DataFrame:
-    """Left rows that are not among the rows, or the l side of the rows, of a join; equal rows count as one, nulls as equal."""
-    sides = matched.select(*(F.col(f"l.`{c}`") for c in left.columns)).distinct()
-    on = reduce(Column.__and__, (F.col(f"l.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in left.columns))
-    return left.alias("l").join(sides.alias("m"), on, "left_anti")
+    """Left rows that are not among the rows, or the l side of the rows, of a join; equal rows count as one, nulls and equal maps as equal."""
+    names = [f"_c{i}" for i in range(len(left.columns))]
+    cells = [comparable(F.col(f"l.`{f.name}`"), f.dataType).alias(n) for f, n in zip(left.schema.fields, names, strict=True)]
+    sides = matched.select(*cells).distinct().alias("m")
+    on = reduce(Column.__and__, (comparable(F.col(f"l.`{f.name}`"), f.dataType).eqNullSafe(F.col(f"m.{n}")) for f, n in zip(left.schema.fields, names, strict=True)))
+    return left.alias("l").join(sides, on, "left_anti")
+
+
+def order_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, op: str, extra: Column | None = None, blocks: int | None = None) -> DataFrame:
+    """Pairs of which the left value is gt, gte, lt or lte the right one, and no equal key.
+
+    Both sides are cut into blocks by the right side's quantiles.  A left block meets the right blocks on its side of it, so
+    that a pair of blocks is an equality; the condition is checked on the pairs, which decides only within equal blocks.  A
+    row is repeated for as many blocks as it meets; the pairs themselves are as many as there are."""
+    low, high = (right_value, left_value) if op in ("gt", "gte") else (left_value, right_value)
+    order = {"gt": Column.__gt__, "lt": Column.__lt__, "gte": Column.__ge__, "lte": Column.__le__}[op]
+    on = order(F.col(f"l.`{left_value}`"), F.col(f"r.`{right_value}`"))
+    on = on if extra is None else on & extra
+    n = blocks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = right.where(F.col(f"`{right_value}`").isNotNull())
+    cuts = known.agg(F.percentile_approx(F.col(f"`{right_value}`"), F.array(*(F.lit(i / n) for i in range(1, n))), 1000)).first()[0] if n > 1 else None
+    cuts = sorted({c for c in cuts or () if c == c})
+    mine, met = free_name("_left_block", left, right), free_name("_right_block", left, right)
+    block = lambda c: sum((F.when(F.col(f"`{c}`") > F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+    zero, last = F.lit(0), F.lit(len(cuts))
+    below = lambda c: F.explode(F.sequence(zero, block(c)))
+    above = lambda c: F.explode(F.sequence(block(c), last))
+    left_is_high = high == left_value
+    l = left.where(F.col(f"`{left_value}`").isNotNull()).withColumn(mine, block(left_value)).withColumn(met, below(left_value) if left_is_high else above(left_value))  # noqa: E741
+    r = known.withColumn(met, block(right_value)).withColumn(mine, above(right_value) if left_is_high else below(right_value))
+    joined = l.alias("l").join(r.alias("r"), (F.col(f"l.{mine}") == F.col(f"r.{mine}")) & (F.col(f"l.{met}") == F.col(f"r.{met}")) & on)
+    return joined.drop(mine, met)
+
+
+def without_order(left: DataFrame, right: DataFrame, left_value: str, right_value: str, op: str, keys: list[tuple[str, str]] = ()) -> DataFrame:
+    """Left rows that no right row of equal keys is ordered to as ``op`` says: the extreme right value decides, one a group."""
+    order = {"gt": Column.__gt__, "lt": Column.__lt__, "gte": Column.__ge__, "lte": Column.__le__}[op]
+    least = op in ("gt", "gte")
+    name = free_name("_extreme", left, right)
+    names = [free_name(f"_key{i}", left, right) for i in range(len(keys))]
+    value = F.col(f"`{right_value}`")
+    extreme = right.where(value.isNotNull()).groupBy(*(F.col(f"`{b}`").alias(n) for (_, b), n in zip(keys, names, strict=True))).agg((F.min if least else F.max)(value).alias(name))
+    if keys:
+        met = left.join(extreme, reduce(Column.__and__, (F.col(f"`{a}`") == F.col(n) for (a, _), n in zip(keys, names, strict=True))), "left")
+    else:
+        met = left.crossJoin(F.broadcast(extreme))  # one row
+    return met.where(~F.coalesce(order(F.col(f"`{left_value}`"), F.col(name)), F.lit(False))).select(*(F.col(f"`{c}`") for c in left.columns))
 
 
 def range_join(left: DataFrame, right: DataFrame, condition: str | Column, ranges: KeyRanges, i: int, left_key: str | None = None, right_key: str | None = None) -> DataFrame:

@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import tolerance_match
-from ledgerloom.operators.joins import execute_join, tolerance_join, unmatched_of
+from ledgerloom.operators.assign import enforce
+from ledgerloom.operators.joins import execute_join, order_join, tolerance_join, unmatched_of, without_order
 
 PATTERNS = ("1:1", "1:N", "M:1")
 
@@ -56,20 +58,43 @@ class Rule:
         return reduce(Column.__and__, (c.column() for c in self.conditions))
 
 
+ORDERS = ("gt", "lt", "gte", "lte")
+
+
 def match_rule(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that meet all conditions; a rule of tolerances alone is bucketed by its first."""
-    tolerances = [c for c in rule.conditions if c.op == "tolerance"]
-    if tolerances and not any(c.op == "eq" for c in rule.conditions):
-        first = tolerances[0]
-        return tolerance_join(left, right, first.left, first.right, first.threshold, rule.column())
+    """Pairs that meet all conditions; a rule without an equality is bucketed by its first tolerance, or cut into blocks by its first order."""
+    if not any(c.op == "eq" for c in rule.conditions):
+        for c in rule.conditions:
+            if c.op == "tolerance":
+                return tolerance_join(left, right, c.left, c.right, c.threshold, rule.column())
+        for c in rule.conditions:
+            if c.op in ORDERS and _cut_by_quantiles(right, c.right):
+                return order_join(left, right, c.left, c.right, c.op, rule.column())
     return execute_join(left, right, rule.column())
 
 
+def _cut_by_quantiles(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def unmatched_rule(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """Left rows that meet the rule with no right row, by the rule's own bucketed join."""
+    """Left rows that meet the rule with no right row.
+
+    Equalities and one order need no pairs: the extreme right value of each group tells.  Else by the rule's own join."""
+    orders, equal = [c for c in rule.conditions if c.op in ORDERS], [c for c in rule.conditions if c.op == "eq"]
+    if len(orders) == 1 and len(orders) + len(equal) == len(rule.conditions):
+        return without_order(left, right, orders[0].left, orders[0].right, orders[0].op, [(c.left, c.right) for c in equal])
     return unmatched_of(left, match_rule(left, right, rule))
 
 
+def match_pattern(left: DataFrame, right: DataFrame, rule: Rule, left_key: str, right_key: str) -> DataFrame:
+    """left_key, right_key, cost of the rule's pairs, of which as many stay as its pattern allows: the nearest by the sum of what tolerances leave."""
+    off = [F.abs(F.col(f"l.`{c.left}`").cast("double") - F.col(f"r.`{c.right}`").cast("double")) for c in rule.conditions if c.op == "tolerance"]
+    cost = reduce(Column.__add__, off) if off else F.lit(0.0)
+    pairs = match_rule(left, right, rule).select(F.col(f"l.`{left_key}`").alias("left_key"), F.col(f"r.`{right_key}`").alias("right_key"), cost.alias("cost"))
+    return enforce(pairs, rule.pattern)
+
+
 def match_rules(left: DataFrame, right: DataFrame, rules: list[Rule], left_key: str) -> list[tuple[str, DataFrame]]:
     """Rules by falling priority, then in order: each is asked of the left rows that no earlier one has matched."""
     found, rest = [], left

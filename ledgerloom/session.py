@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions import register
 
@@ -21,3 +23,22 @@ def job_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.adaptive.enabled", "true")
     own.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return register(own)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver can write: spark.checkpoint.dir, or on one machine a temporary folder where that is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a round through the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
