@@ -34,9 +34,18 @@ def matched_records(pairs: DataFrame, left_key, right_key, matched_at: str, rule
     return pairs.select(uuid.alias("match_id"), left_key.alias("left_key"), right_key.alias("right_key"), F.lit(rule).alias("rule_name"), F.lit(confidence).alias("confidence"), F.lit(matched_at).cast("timestamp").alias("matched_at"))
 
 
-def unmatched_records(rows: DataFrame, key, rules: list[str], reason: str = "no match") -> DataFrame:
-    """record_key, attempted_rules (a JSON array), closest_candidate, rejection_reason."""
-    return rows.select(key.alias("record_key"), F.lit(json.dumps(rules)).alias("attempted_rules"), F.lit(None).cast("string").alias("closest_candidate"), F.lit(reason).alias("rejection_reason"))
+NO_MATCH, NEAR_MISS = "no match", "outside tolerance"
+
+
+def unmatched_records(rows: DataFrame, key, rules: list[str], reason: str = NO_MATCH, candidates: DataFrame | None = None) -> DataFrame:
+    """record_key, attempted_rules (a JSON array), closest_candidate, rejection_reason.  candidates: record_key, closest_candidate, one row a key at most."""
+    records = rows.select(key.alias("record_key"))
+    if candidates is None:
+        found = records.withColumn("closest_candidate", F.lit(None).cast("string"))
+    else:
+        found = records.join(candidates, "record_key", "left")
+    why = F.when(F.col("closest_candidate").isNotNull(), NEAR_MISS).otherwise(reason)
+    return found.select("record_key", F.lit(json.dumps(rules)).alias("attempted_rules"), "closest_candidate", why.alias("rejection_reason"))
 
 
 class EvidenceStore:

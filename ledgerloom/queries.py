@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import field_name, js_number, key_of, register, relative_match, signed_relative_match, tolerance_match
 from ledgerloom.operators import joins, metrics
 from ledgerloom.plans import evidence, infer, reports, rules, runner
+from ledgerloom.session import shared_folder
 from ledgerloom.sources import scoped
 from ledgerloom.sources.filters import FilterCondition, apply_filters
 from ledgerloom.sources.ranges import KeyRanges
@@ -457,23 +457,13 @@ def _job(name: str, oracle: str, read) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources = (runner.JobSource("orders", f"{sf_dir}/orders.parquet"), runner.JobSource("lines", f"{sf_dir}/lineitem.parquet", (FilterCondition("l_quantity", "gte", 10.0),)))
-        request = runner.JobRequest(uuid.uuid4().hex, MATCH_SQL, sources, {"orders": ("o_orderkey",), "lines": ("l_orderkey", "l_linenumber")}, f"{evidence_folder(spark)}/evidence")
+        request = runner.JobRequest(uuid.uuid4().hex, MATCH_SQL, sources, {"orders": ("o_orderkey",), "lines": ("l_orderkey", "l_linenumber")}, f"{shared_folder(spark)}/evidence")
         return read(spark, runner.run_job(spark, request))
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH r AS (SELECT * FROM lineitem WHERE l_quantity >= 10), m AS (SELECT o_orderkey, l_orderkey, l_linenumber FROM orders JOIN r ON o_orderkey = l_orderkey AND abs(o_totalprice - l_extendedprice) <= 1000::DOUBLE) {oracle}"
 
 
-def evidence_folder(spark: SparkSession) -> str:
-    """Where executors and driver can write: the folder of checkpoints, or on one machine a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="evidence-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
 def _counts(spark: SparkSession, result) -> DataFrame:
     kept = ("total_left", "total_right", "matched_count", "unmatched_left_count", "unmatched_right_count")
     return spark.createDataFrame([tuple(getattr(result, k) for k in kept)], ", ".join(f"{k} long" for k in kept))
