@@ -48,8 +48,11 @@ def signed_relative_match(a, b, share) -> Column:
 
 
 def text_of(column) -> Column:
-    """A value as text; null stays null."""
-    return (F.col(column) if isinstance(column, str) else column).cast("string")
+    """A value as text; null stays null.  Floating numbers below 10**20 are written as plain digits, whole ones without a fraction."""
+    c = F.col(column) if isinstance(column, str) else column
+    digits = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    floating = F.typeof(c).isin("float", "double") & (F.abs(c.try_cast("double")) < 1e20)
+    return F.when(floating & digits.isNotNull(), digits).otherwise(c.cast("string"))
 
 
 def key_of(columns: list) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import field_name, js_number, key_of, register, relative_match, signed_relative_match, tolerance_match
 from ledgerloom.operators import joins, metrics
+from ledgerloom.operators.asof import join_asof
 from ledgerloom.plans import evidence, infer, reports, rules, runner
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import scoped
@@ -225,6 +226,10 @@ for _c, _w in {
     "csvfilter_between_lex": ([("o_custkey", "between", ["10", "2"])], "CAST(o_custkey AS VARCHAR) BETWEEN '10' AND '2'"),
     "csvfilter_like_ci": ([("o_orderpriority", "like", "%urgent")], "o_orderpriority ILIKE '%urgent'"),
     "csvfilter_unknown_column": ([("nothing", "eq", "x"), ("o_orderstatus", "neq", "F")], "o_orderstatus <> 'F'"),
+    "csvfilter_eq": ([("o_custkey", "eq", 7.0)], "CAST(o_custkey AS VARCHAR) = '7'"),
+    "csvfilter_neq": ([("o_orderpriority", "neq", "1-URGENT")], "CAST(o_orderpriority AS VARCHAR) <> '1-URGENT'"),
+    "csvfilter_in": ([("o_custkey", "in", ["1", "10", "100"])], "CAST(o_custkey AS VARCHAR) IN ('1', '10', '100')"),
+    "csvfilter_in_none": ([("o_custkey", "in", [])], "false"),
     "csvfilter_fallback": ([("o_orderstatus", "between", ["a"])], "true"),
 }.items():
     _filter(_c, *_w, "csv")
@@ -472,8 +477,134 @@ def _counts(spark: SparkSession, result) -> DataFrame:
 _KEY = "CAST(l_orderkey AS VARCHAR) || chr(31) || CAST(l_linenumber AS VARCHAR)"
 _job("job_counts", f"SELECT (SELECT count(*) FROM orders) AS total_left, (SELECT count(*) FROM r) AS total_right, count(*) AS matched_count, (SELECT count(*) FROM orders) - count(DISTINCT o_orderkey) AS unmatched_left_count, (SELECT count(*) FROM r) - count(DISTINCT {_KEY}) AS unmatched_right_count FROM m", _counts)
 _job("job_matched", f"SELECT CAST(o_orderkey AS VARCHAR) AS left_key, {_KEY} AS right_key, 'match_sql' AS rule_name, 1.0::DOUBLE AS confidence FROM m", lambda spark, result: spark.read.parquet(result.output_paths["matched"]).select("left_key", "right_key", "rule_name", "confidence"))
-_job("job_unmatched_left", """SELECT CAST(o_orderkey AS VARCHAR) AS record_key, '["match_sql"]' AS attempted_rules, CAST(NULL AS VARCHAR) AS closest_candidate, 'no match' AS rejection_reason FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m)""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_left"]))
-_job("job_unmatched_right", f"""SELECT {_KEY} AS record_key, '["match_sql"]' AS attempted_rules, CAST(NULL AS VARCHAR) AS closest_candidate, 'no match' AS rejection_reason FROM r WHERE {_KEY} NOT IN (SELECT {_KEY} FROM m)""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_right"]))
+_WHY = "CASE WHEN k IS NULL THEN 'no match' ELSE 'outside tolerance' END AS rejection_reason"
+_NEAREST = "abs(o_totalprice - l_extendedprice)"
+_job("job_unmatched_left", f"""
+    , c AS (SELECT o_orderkey AS o, {_KEY} AS k FROM orders JOIN r ON o_orderkey = l_orderkey QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY {_NEAREST}, l_extendedprice, {_KEY}) = 1)
+    SELECT CAST(o_orderkey AS VARCHAR) AS record_key, '["match_sql"]' AS attempted_rules, k AS closest_candidate, {_WHY} FROM orders LEFT JOIN c ON o = o_orderkey WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m)
+""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_left"]))
+_job("job_unmatched_right", f"""
+    , c AS (SELECT DISTINCT {_KEY} AS key, CAST(o_orderkey AS VARCHAR) AS k FROM orders JOIN r ON o_orderkey = l_orderkey)
+    SELECT {_KEY} AS record_key, '["match_sql"]' AS attempted_rules, k AS closest_candidate, {_WHY} FROM r LEFT JOIN c ON key = {_KEY} WHERE {_KEY} NOT IN (SELECT {_KEY} FROM m)
+""", lambda spark, result: spark.read.parquet(result.output_paths["unmatched_right"]))
+
+
+def _band_job(name: str, match_sql: str, oracle: str, side: str) -> None:
+    """A run whose match has no equality: bucketed from its plan."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = (runner.JobSource("customers", f"{sf_dir}/customer.parquet"), runner.JobSource("suppliers", f"{sf_dir}/supplier.parquet"))
+        request = runner.JobRequest(uuid.uuid4().hex, match_sql, sources, {"customers": ("c_custkey",), "suppliers": ("s_suppkey",)}, f"{shared_folder(spark)}/evidence")
+        found = spark.read.parquet(runner.run_job(spark, request).output_paths[side])
+        return found.select("left_key", "right_key") if side == "matched" else found.select("record_key", "closest_candidate", "rejection_reason")
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle
+
+
+_BAND = "abs(c_acctbal - s_acctbal) <= 2::DOUBLE"
+_band_job("job_lone_tolerance", "SELECT c.c_custkey, s.s_suppkey FROM left_src c JOIN right_src s ON tolerance_match(c.c_acctbal, s.s_acctbal, 2)", f"SELECT CAST(c_custkey AS VARCHAR) AS left_key, CAST(s_suppkey AS VARCHAR) AS right_key FROM customer JOIN supplier ON {_BAND}", "matched")
+_band_job("job_lone_interval", "SELECT c.c_custkey, s.s_suppkey FROM left_src c, right_src s WHERE s.s_acctbal BETWEEN c.c_acctbal AND c.c_acctbal * 1.001D", "SELECT CAST(c_custkey AS VARCHAR) AS left_key, CAST(s_suppkey AS VARCHAR) AS right_key FROM customer JOIN supplier ON s_acctbal BETWEEN c_acctbal AND c_acctbal * 1.001::DOUBLE", "matched")
+_band_job("job_nearest_candidate", "SELECT c.c_custkey, s.s_suppkey FROM left_src c JOIN right_src s ON tolerance_match(c.c_acctbal, s.s_acctbal, 2)", f"""
+    WITH u AS (SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE {_BAND}))
+    SELECT CAST(c_custkey AS VARCHAR) AS record_key, CAST(s_suppkey AS VARCHAR) AS closest_candidate, CASE WHEN s_suppkey IS NULL THEN 'no match' ELSE 'outside tolerance' END AS rejection_reason
+    FROM u LEFT JOIN supplier ON c_acctbal IS NOT NULL AND s_acctbal IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_acctbal, CAST(s_suppkey AS VARCHAR)) = 1
+""", "unmatched_left")
+
+
+def _asof_oracle(direction: str, limit: str = "true") -> str:
+    fits = {"backward": "v.ts <= p.ts", "forward": "v.ts >= p.ts", "nearest": "true"}[direction]
+    return f"""
+        SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND {fits} AND {limit}
+        QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(v.ts)) NULLS LAST, v.ts, v.event_id) = 1
+    """
+
+
+def _views_of(t, direction: str, tolerance: float | None = None) -> DataFrame:
+    """Each purchase with the view of the same user that lies as the direction says."""
+    events = t("events")
+    views = events.where("event_type = 'view'").select("ts", "user_id", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return join_asof(events.where("event_type = 'purchase'"), views, "ts", "ts", ["user_id"], direction, tolerance, ties=["view_id"]).select("event_id", "user_id", "view_id", "view_value")
+
+
+@query(_asof_oracle("backward"))
+def asof_backward(t):
+    return _views_of(t, "backward")
+
+
+@query(_asof_oracle("forward", "epoch_us(v.ts) - epoch_us(p.ts) <= 86400000000"))
+def asof_forward_within_a_day(t):
+    return _views_of(t, "forward", 86_400e6)
+
+
+@query(_asof_oracle("nearest"))
+def asof_nearest(t):
+    return _views_of(t, "nearest")
+
+
+_RICH = "c_acctbal > 9000", "s_acctbal > 9000"
+
+
+@query(f"SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal > s_acctbal AND {_RICH[0]} AND {_RICH[1]}")
+def match_order_only(t):
+    """A rule that only orders two columns: by blocks of values."""
+    rule = rules.Rule("more", (rules.Condition("c_acctbal", "gt", "s_acctbal"),))
+    return rules.match_rule(t("customer").where(_RICH[0]), t("supplier").where(_RICH[1]), rule).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal >= c_acctbal)")
+def unmatched_order_by_group(t):
+    rule = rules.Rule("less", (rules.Condition("c_nationkey", "eq", "s_nationkey"), rules.Condition("c_acctbal", "lte", "s_acctbal")))
+    return rules.unmatched_rule(t("customer").select("c_custkey", "c_nationkey", "c_acctbal"), t("supplier"), rule)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < c_acctbal)")
+def unmatched_order_only(t):
+    rule = rules.Rule("more", (rules.Condition("c_acctbal", "gt", "s_acctbal"),))
+    return rules.unmatched_rule(t("customer").select("c_custkey", "c_acctbal"), t("supplier"), rule)
+
+
+_PAIRS = "SELECT c_nationkey AS n, c_custkey AS c, s_suppkey AS s, abs(c_acctbal - s_acctbal) AS cost FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 300::DOUBLE"
+
+
+def _pattern(t, pattern: str) -> DataFrame:
+    rule = rules.Rule("near", (rules.Condition("c_nationkey", "eq", "s_nationkey"), rules.Condition("c_acctbal", "tolerance", "s_acctbal", 300.0)), pattern)
+    return rules.match_pattern(t("customer"), t("supplier"), rule, "c_custkey", "s_suppkey").select("left_key", "right_key", F.round("cost", 6).alias("cost"))
+
+
+@query(f"""
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cost, c, s) AS i FROM ({_PAIRS})),
+    taken AS (
+        SELECT DISTINCT n, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS cs, []::BIGINT[] AS ss FROM p
+        UNION ALL
+        SELECT p.n, p.i, CASE WHEN list_contains(cs, c) OR list_contains(ss, s) THEN cs ELSE list_append(cs, c) END, CASE WHEN list_contains(cs, c) OR list_contains(ss, s) THEN ss ELSE list_append(ss, s) END
+        FROM taken JOIN p ON p.n = taken.n AND p.i = taken.i + 1
+    ), whole AS (SELECT * FROM taken QUALIFY row_number() OVER (PARTITION BY n ORDER BY i DESC) = 1), kept AS (SELECT n, unnest(cs) AS c, unnest(ss) AS s FROM whole)
+    SELECT c AS left_key, s AS right_key, round(cost, 6) AS cost FROM kept JOIN p USING (n, c, s)
+""")
+def pattern_one_to_one(t):
+    """A customer and a supplier of a nation at most once each, the nearest balances first."""
+    return _pattern(t, "1:1")
+
+
+@query(f"SELECT c AS left_key, s AS right_key, round(cost, 6) AS cost FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY s ORDER BY cost, c) = 1")
+def pattern_one_to_many(t):
+    return _pattern(t, "1:N")
+
+
+@query("""
+    SELECT o_custkey AS run_id, c_nationkey AS recipe_id, n AS left_record_count, m AS matched_count, n_name AS recipe_name, CASE WHEN n > 0 THEN round(m * 100.0::DOUBLE / n, 2) ELSE 0 END AS match_rate_pct, epoch_us(b - a) / 1e6::DOUBLE AS duration_seconds
+    FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS m, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey)
+        JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey
+""")
+def run_summary_of_customers(t):
+    """The summary over runs that orders make: a run for each customer, a recipe for each nation but those of one region."""
+    orders = t("orders").groupBy("o_custkey").agg(F.count("*").alias("left_record_count"), F.count_if(F.col("o_orderstatus") == "F").alias("matched_count"), F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("completed_at"))
+    runs = orders.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("run_id"), F.col("c_nationkey").alias("recipe_id"), "left_record_count", "matched_count", "started_at", "completed_at")
+    recipes = t("nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("recipe_id"), F.col("n_name").alias("name"))
+    return reports.run_summary(runs, recipes).drop("started_at", "completed_at")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE abs(c_acctbal - s_acctbal) <= 5::DOUBLE)")

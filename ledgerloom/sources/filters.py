@@ -69,7 +69,7 @@ def _name(name: str) -> Column:
 
 def _whole(c: FilterCondition) -> FilterCondition:
     """A whole number given as a float, as JSON does, as an integer: compared with an integral column it then reaches the scan."""
-    if isinstance(c.value, float) and c.value.is_integer() and abs(c.value) < 1 << 31:
+    if isinstance(c.value, float) and c.value.is_integer() and abs(c.value) <= 1 << 53:
         return FilterCondition(c.column, c.op, int(c.value))
     return c
 
