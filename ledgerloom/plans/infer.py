@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import field_name, js_number
-from ledgerloom.operators.joins import execute_join, tolerance_join
-from ledgerloom.plans.rules import Condition
+from ledgerloom.functions import field_name, js_number, tolerance_match
+from ledgerloom.operators.asof import join_asof
+from ledgerloom.operators.joins import free_name
+from ledgerloom.plans.rules import ORDERS, Condition, Rule, match_rule
 
 EXACT_SHARE, TOLERANT_SHARE, RELATIVE = 0.7, 0.5, 0.05
 #: Pairs that must be confirmed before rules are inferred from them.
@@ -29,43 +32,100 @@ def _cells(columns: list[str]):
     return F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("text")) for i, c in enumerate(columns)))
 
 
+#: Rows of which all pairs of columns are compared at a time.
+COMPARED = 512
+
+
+def _compared(columns: int, others: int):
+    """Batches of n left and m right columns as texts, then as numbers: for each pair of columns how many rows are equal and how many close."""
+
+    def run(batches):
+        exact, close, n = np.zeros((columns, others), np.int64), np.zeros((columns, others), np.int64), 0
+        for batch in batches:
+            for part in (batch.slice(i, COMPARED) for i in range(0, batch.num_rows, COMPARED)):
+                n += part.num_rows
+                texts = pa.concat_arrays(part.columns[: columns + others]).dictionary_encode()
+                empty = texts.dictionary.index("").as_py()  # no text has the code -1
+                codes = texts.indices.to_numpy().reshape(columns + others, -1)
+                number = np.stack([c.fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in part.columns[columns + others :]])
+                a, b, x, y = codes[:columns], codes[columns:], number[:columns], number[columns:]
+                for i in range(columns):
+                    filled = (a[i] != empty) & (b != empty)
+                    same = filled & (a[i] == b)
+                    with np.errstate(all="ignore"):
+                        share = np.abs(x[i] - y) / np.where(x[i] == 0, 1, np.abs(x[i]))
+                    exact[i] += same.sum(axis=1)
+                    close[i] += (filled & ~same & (share < RELATIVE)).sum(axis=1)
+        if n:
+            place, right = (m.ravel() for m in np.indices((columns, others)))
+            yield pa.RecordBatch.from_pydict({"place": place, "right_place": right, "exact": exact.ravel(), "close": close.ravel(), "n": np.full(columns * others, n)})
+
+    return run
+
+
 def infer_rules(pairs: DataFrame, left_columns: list[str], right_columns: list[str]) -> DataFrame:
     """pairs: a row per confirmed pair with the columns of both sides.  left_col, right_col, op, confidence, best first.
 
     Two columns match by eq if over 0.7 of the pairs have equal text, by tolerance if over 0.5 are within 5 % or both
-    shares together exceed 0.7.  Empty cells never match but count as pairs."""
+    shares together exceed 0.7.  Empty cells never match but count as pairs.  Tasks compare all pairs of columns in Arrow
+    batches and sum their own rows; what is shuffled is a row for each pair of columns and task."""
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    texts = pairs.select(*(text(c).alias(f"{side}{i}") for side, columns in (("a", left_columns), ("b", right_columns)) for i, c in enumerate(columns)))
-    # every cell is read as a number once, then one aggregate holds the counts of all pairs of columns
-    cells = texts.select("*", *(js_number(c).alias(c.translate(str.maketrans("ab", "xy"))) for c in texts.columns))
-
-    def counts(i: int, j: int) -> Column:
-        a, b, x, y = F.col(f"a{i}"), F.col(f"b{j}"), F.col(f"x{i}"), F.col(f"y{j}")
-        filled, share = (a != "") & (b != ""), F.when(x == 0, F.abs(x - y)).otherwise(F.abs(x - y) / F.abs(x))
-        return F.struct(F.lit(i).alias("place"), F.lit(j).alias("right_place"), F.count_if(filled & (a == b)).alias("exact"), F.count_if(filled & (a != b) & (share < RELATIVE)).alias("close"))
-
-    counted = cells.agg(F.count("*").alias("n"), F.array(*(counts(i, j) for i in range(len(left_columns)) for j in range(len(right_columns)))).alias("all"))
-    named = lambda columns, place: F.element_at(F.array(*map(F.lit, columns)), F.col(place) + 1)
-    found = counted.where("n > 0").select("n", F.explode("all").alias("c")).select(
-        "c.place", "c.right_place", named(left_columns, "c.place").alias("name"), named(right_columns, "c.right_place").alias("right_col"), (F.col("c.exact") / F.col("n")).alias("exact"), (F.col("c.close") / F.col("n")).alias("close"))
+    columns = [*left_columns, *right_columns]
+    # texts are computed before their numbers, so that a column is cast once
+    # comparing costs more than moving: an even spread, which a small join's result may lack
+    spread = pairs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = spread.select(*(text(f"c{i}").alias(f"t{i}") for i in range(len(columns))))
+    cells = cells.select("*", *(js_number(f"t{i}").alias(f"x{i}") for i in range(len(columns))))
+    sums = cells.mapInArrow(_compared(len(left_columns), len(right_columns)), "place long, right_place long, exact long, close long, n long")
+    summed = sums.groupBy("place", "right_place").agg(*(F.sum(c).alias(c) for c in ("exact", "close", "n")))
+    named = lambda columns, place: F.element_at(F.array(*map(F.lit, columns)), F.col(place).cast("int") + 1)
+    found = summed.select(
+        "place", "right_place", named(left_columns, "place").alias("left_col"), named(right_columns, "right_place").alias("right_col"), (F.col("exact") / F.col("n")).alias("exact"), (F.col("close") / F.col("n")).alias("close"))
     op = F.when(F.col("exact") > EXACT_SHARE, "eq").when((F.col("close") > TOLERANT_SHARE) | (F.col("exact") + F.col("close") > EXACT_SHARE), "tolerance")
-    scored = found.select("place", "right_place", F.col("name").alias("left_col"), "right_col", op.alias("op"), F.when(F.col("exact") > EXACT_SHARE, F.col("exact")).otherwise(F.col("exact") + F.col("close")).alias("confidence"))
+    scored = found.select("place", "right_place", "left_col", "right_col", op.alias("op"), F.when(F.col("exact") > EXACT_SHARE, F.col("exact")).otherwise(F.col("exact") + F.col("close")).alias("confidence"))
     return scored.where("op IS NOT NULL").orderBy(F.desc("confidence"), "place", "right_place").drop("place", "right_place")
 
 
+def rules_from(pairs: DataFrame, left_columns: list[str], right_columns: list[str], least: int = LEAST_PAIRS) -> DataFrame:
+    """infer_rules of pairs that a user has confirmed, of which there must be enough."""
+    return infer_rules(confirmed(pairs, least), left_columns, right_columns)
+
+
+def _meets_one(left: DataFrame, right: DataFrame, c: Condition) -> DataFrame:
+    """Left rows that meet one condition with some right row, each once: a semi-join, never the pairs."""
+    if c.op in ORDERS:
+        return _ordered_with_any(left, right, c)
+    if c.op == "tolerance":
+        return _near_any(left, right, c)
+    values = right.select(F.col(f"`{c.right}`")).distinct()
+    return left.alias("l").join(values.alias("r"), c.column(), "left_semi")
+
+
+def _ordered_with_any(left: DataFrame, right: DataFrame, c: Condition) -> DataFrame:
+    """Left rows that an order holds for with some right row: the extreme right value tells."""
+    value = F.col(f"`{c.right}`")
+    extreme = right.where(value.isNotNull()).agg((F.min if c.op in ("gt", "gte") else F.max)(value).alias(c.right))
+    return left.alias("l").join(F.broadcast(extreme).alias("r"), c.column(), "left_semi")  # one row
+
+
+def _near_any(left: DataFrame, right: DataFrame, c: Condition) -> DataFrame:
+    """Left rows with a right value within the threshold: the nearest one below or above tells."""
+    name = free_name("_near", left, right)
+    values = right.select(F.col(f"`{c.right}`").alias(name)).distinct()
+    return join_asof(left, values, c.left, name, direction="nearest", how="inner").where(tolerance_match(c.left, name, c.threshold)).drop(name)
+
+
 def preview_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, conditions: list[Condition]) -> DataFrame:
     """left_key, status, right_keys: matched if one right row meets all conditions, partial if one meets some.
 
-    Each condition is a join of its own, so that rows are never compared all with all where it is an equality or a
-    tolerance."""
-    met = []
-    for i, c in enumerate(conditions):
-        joined = tolerance_join(left, right, c.left, c.right, c.threshold) if c.op == "tolerance" else execute_join(left, right, c.column())
-        met.append(joined.select(F.col(f"l.{left_key}").alias("left_key"), F.col(f"r.{right_key}").alias("right_key"), F.lit(i).alias("rule")))
-    pairs = reduce(DataFrame.unionByName, met).groupBy("left_key", "right_key").agg(F.count_distinct("rule").alias("n"))
-    best = pairs.groupBy("left_key").agg(F.max("n").alias("best"), F.sort_array(F.collect_list(F.when(F.col("n") == len(conditions), F.col("right_key")))).alias("right_keys"))
-    status = F.when(F.col("best") == len(conditions), "matched").when(F.col("best") > 0, "partial").otherwise("unmatched")
-    rows = left.select(F.col(left_key).alias("left_key")).join(best, "left_key", "left")
+    Only the pairs that meet all conditions are made, by one join; which rows meet some condition is told by a semi-join for
+    each, so that a weak condition, such as an equal country, makes no pairs."""
+    a = F.col(f"`{left_key}`")
+    whole = match_rule(left, right, Rule("all", tuple(conditions))).select(F.col(f"l.`{left_key}`").alias("left_key"), F.col(f"r.`{right_key}`").alias("right_key")).distinct()
+    full = whole.groupBy("left_key").agg(F.sort_array(F.collect_list("right_key")).alias("right_keys"))
+    some = reduce(DataFrame.unionByName, (_meets_one(left, right, c).select(a.alias("left_key")) for c in conditions)).distinct().withColumn("some", F.lit(True))
+    status = F.when(F.col("right_keys").isNotNull(), "matched").when(F.col("some"), "partial").otherwise("unmatched")
+    rows = left.select(a.alias("left_key")).join(full, "left_key", "left").join(some, "left_key", "left")
     return rows.select("left_key", status.alias("status"), F.coalesce("right_keys", F.array().cast(f"array<{dict(right.dtypes)[right_key]}>")).alias("right_keys"))
 
 

@@ -343,6 +343,29 @@ def preview_match(t):
     return found.select("left_key", "status", F.size("right_keys").cast("long").alias("matches"))
 
 
+def _wide_oracle() -> str:
+    sides = [(a, b) for a in _WIDE_LEFT for b in _WIDE_RIGHT]
+    number = lambda c: f"TRY_CAST({c} AS DOUBLE)" if c in _NUMERIC else "CAST(regexp_extract(CAST({0} AS VARCHAR), '^[0-9]+') AS DOUBLE)".format(c) if c in _DATED else "NULL::DOUBLE"
+    one = """SELECT '{a}' AS left_col, '{b}' AS right_col, avg(CASE WHEN CAST({a} AS VARCHAR) = CAST({b} AS VARCHAR) THEN 1.0::DOUBLE ELSE 0 END) AS exact,
+        avg(CASE WHEN CAST({a} AS VARCHAR) <> CAST({b} AS VARCHAR) AND abs({x} - {y}) / CASE WHEN {x} = 0 THEN 1 ELSE abs({x}) END < 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS close FROM p"""
+    return (
+        "WITH p AS (SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey), f AS (" + " UNION ALL ".join(one.format(a=a, b=b, x=number(a), y=number(b)) for a, b in sides) + ")"
+        " SELECT left_col, right_col, CASE WHEN exact > 0.7 THEN 'eq' ELSE 'tolerance' END AS op, round(CASE WHEN exact > 0.7 THEN exact ELSE exact + close END, 9) AS confidence FROM f WHERE exact > 0.7 OR close > 0.5 OR exact + close > 0.7"
+    )
+
+
+_WIDE_LEFT = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"]
+_WIDE_RIGHT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_NUMERIC = {"o_orderkey", "o_custkey", "o_totalprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+_DATED = {"o_orderdate", "l_shipdate"}
+
+
+@query(_wide_oracle())
+def infer_rules_wide(t):
+    """All pairs of columns of both sides: keys are equal, years of dates are close."""
+    return infer.rules_from(_order_lines(t), _WIDE_LEFT, _WIDE_RIGHT).withColumn("confidence", F.round("confidence", 9))
+
+
 @query("""
     SELECT 'customer' AS tab, 'c_custkey' AS "column", count(*) AS rows, count(DISTINCT c_custkey) AS distinct_values, count(*) = count(DISTINCT c_custkey) AS is_key FROM customer
     UNION ALL SELECT 'events', 'event_id', count(*), count(DISTINCT event_id), count(*) = count(DISTINCT event_id) FROM events

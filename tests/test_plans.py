@@ -144,6 +144,53 @@ def test_infer_rules(spark):
     assert infer.infer_rules(pairs.limit(0), ["k"], ["k2"]).count() == 0
 
 
+def test_infer_rules_of_wide_sides(spark):
+    """100 by 100 columns, against plain counting."""
+    import random
+
+    rng = random.Random(5)
+    cell = lambda j: rng.choice(["", None, "x", str(j), str(100 + j), f"{100 + j}.4 kg", "0", "-3"])
+    rows = [tuple(cell(j % 10) for j in range(200)) for _ in range(60)]
+    left, right = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in left + right)).repartition(3)
+    got = {(r.left_col, r.right_col): (r.op, round(r.confidence, 9)) for r in infer.infer_rules(df, left, right).collect()}
+    number = lambda t: float(m[0]) if (m := __import__("re").match(r"-?[0-9]+(\.[0-9]+)?", t)) else None
+    want = {}
+    for i in range(100):
+        for j in range(100):
+            exact = close = 0
+            for r in rows:
+                a, b = r[i] or "", r[100 + j] or ""
+                if a and b and a == b:
+                    exact += 1
+                elif a and b and (x := number(a)) is not None and (y := number(b)) is not None:
+                    close += (abs(x - y) if x == 0 else abs(x - y) / abs(x)) < 0.05
+            exact, close = exact / len(rows), close / len(rows)
+            if exact > 0.7 or close > 0.5 or exact + close > 0.7:
+                want[f"a{i}", f"b{j}"] = ("eq" if exact > 0.7 else "tolerance", round(exact if exact > 0.7 else exact + close, 9))
+    assert got == want
+
+
+def test_preview_of_every_operator(spark):
+    import random
+
+    rng = random.Random(8)
+    l = [(i, rng.choice(["a", "bb", None, "cab"]), rng.choice([None, 1.0, 5.0, 9.0]), i % 3) for i in range(30)]  # noqa: E741
+    r = [(i, rng.choice(["a", "b", None, "ab"]), rng.choice([None, 1.2, 5.1, 20.0]), i % 4) for i in range(20)]
+    left, right = spark.createDataFrame(l, "id int, s string, x double, k int"), spark.createDataFrame(r, "rid int, s2 string, y double, k2 int")
+    meets = {"eq": lambda a, b: a == b, "gt": lambda a, b: a > b, "lte": lambda a, b: a <= b, "contains": lambda a, b: b in a, "tolerance": lambda a, b: abs(a - b) <= 0.5}
+    conditions = [("k", "eq", "k2", 3, 3), ("x", "gt", "y", 2, 2), ("x", "lte", "y", 2, 2), ("s", "contains", "s2", 1, 1), ("x", "tolerance", "y", 2, 2)]
+    for one in range(len(conditions)):
+        chosen = [conditions[one], conditions[(one + 1) % len(conditions)]]
+        holds = lambda a, b, c: a[c[3]] is not None and b[c[4]] is not None and meets[c[1]](a[c[3]], b[c[4]])
+        want = {}
+        for a in l:
+            n = [sum(holds(a, b, c) for c in chosen) for b in r]
+            want[a[0]] = ("matched" if 2 in n else "partial" if 1 in n else "unmatched", sorted(b[0] for b, m in zip(r, n, strict=True) if m == 2))
+        found = infer.preview_match(left, right, "id", "rid", [rules.Condition(c[0], c[1], c[2], 0.5) for c in chosen])
+        assert {x.left_key: (x.status, x.right_keys) for x in found.collect()} == want
+
+
 def test_preview(spark):
     l = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0), (3, "c", 99.0), (4, None, None)], "id int, ref string, amount double")  # noqa: E741
     r = spark.createDataFrame([(5, "a", 10.01), (6, "b", 50.0), (7, "a", 10.0)], "pid int, ref2 string, paid double")
@@ -268,3 +315,5 @@ def test_rules_need_three_confirmed_pairs(spark):
     with pytest.raises(ValueError):
         infer.confirmed(spark.range(2))
     assert infer.confirmed(spark.range(3)).count() == 3
+    with pytest.raises(ValueError):
+        infer.rules_from(spark.range(2), ["id"], ["id"])
