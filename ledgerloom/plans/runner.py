@@ -33,9 +33,12 @@ class MatchError(Exception):
 
 @dataclass(frozen=True)
 class JobSource:
+    """uri: or an alias of the registry.  schema: the types of a CSV file's columns, as DDL; without one they are inferred by a pass of their own."""
+
     alias: str
     uri: str
     filters: tuple[FilterCondition, ...] = ()
+    schema: str | None = None
 
 
 @dataclass(frozen=True)
@@ -187,7 +190,7 @@ def run_job(spark: SparkSession, request: JobRequest, on_event: Callable[[dict],
         frames = []
         for i, s in enumerate(request.sources):
             uri = registry.resolve(s.uri) if registry else s.uri
-            frames.append(register_source(session, s.alias, uri, list(s.filters), partitions))
+            frames.append(register_source(session, s.alias, uri, list(s.filters), partitions, s.schema))
             if i < 2:
                 frames[i].createOrReplaceTempView(FIXED[i])
         left, right = frames[:2]
