@@ -37,29 +37,37 @@ ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[
 
 # Fixed values of HTML: element kinds by name.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption summary".split())
 #: What an opening tag closes, up to the nearest of the second group.
 SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
 #: Elements that are no article text.
-BOILERPLATE = frozenset("nav footer aside form button select dialog menu head object audio video canvas".split())
+BOILERPLATE = frozenset("nav footer aside form button select dialog menu head object audio video canvas annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar note".split())
 #: Elements that a page can do without in any case but as a wrapper of all of it.
 WRAPPERS = frozenset(("form",))
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead footer cookie cookies consent gdpr newsletter subscribe signup share sharing social pagination pager popup modal login skip".split())
+#: Those of them that name what is never the article's own, whatever it says.
+PAID = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr newsletter subscribe signup".split())
 WEAK = frozenset("aside banner header notice related recommended reply widget toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 body html article main".split())
 #: Containers, of whose names each part counts; other elements' names count as a whole.
-CONTAINERS = frozenset("div ul ol dl table header".split())
+CONTAINERS = frozenset("div section ul ol dl table header".split())
+#: Parts of lists and tables, which have short texts without sentences.
+ITEMS = frozenset("li dt dd td th".split())
 #: The share of links from which a suspect goes, and the share of the page's text up to which a small one does.
 LINKED, SMALL = 0.3, 0.2
 
 
+SENTENCE_END = re.compile(r"[.!?]")
+SENTENCE_WORDS = 3
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "drop", "density", "within", "suspect", "holds", "shut")
+    __slots__ = ("tag", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "drop", "density", "within", "suspect", "holds", "says", "shut")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -67,7 +75,7 @@ class Node:
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.drop, self.density = False, 0.0
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
-        self.suspect, self.holds = "", tag in ("article", "main")
+        self.suspect, self.holds, self.says = "", tag in ("article", "main"), False
         self.shut: set[str] | None = None  # tags that can't be closed from here
 
 
@@ -91,7 +99,7 @@ def _named(node: Node, value: str) -> str:
         words |= {w for x in words for w in re.split("[-_]", x)}
     if node.tag == "header" and node.within:
         words -= WEAK
-    return "comment" if words & COMMENTS else "strong" if words & STRONG else "weak" if words & WEAK else ""
+    return "comment" if words & COMMENTS else "paid" if words & PAID else "strong" if words & STRONG else "weak" if words & WEAK else ""
 
 
 def _judge(node: Node, own: dict[str, str]) -> None:
@@ -107,7 +115,7 @@ def _judge(node: Node, own: dict[str, str]) -> None:
     if unseen or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").strip().lower() in ROLES:
         node.drop = True
     if node.tag not in HEADINGS and not node.suspect:
-        node.suspect = min((_named(node, own[k]) for k in ("class", "id") if k in own), key=("comment", "strong", "weak", "").index, default="")
+        node.suspect = min((_named(node, own[k]) for k in ("class", "id") if k in own), key=("comment", "paid", "strong", "weak", "").index, default="")
 
 
 def parse(page: str) -> Node:
@@ -191,10 +199,13 @@ def settle(top: Node) -> None:
     if not any(n.suspect for n in nodes):
         return
     for node in reversed(nodes):
-        node.chars += sum(len(p) - p.count(" ") for p in node.parts if isinstance(p, str))
+        own = [p for p in node.parts if isinstance(p, str)]
+        node.chars += sum(len(p) - p.count(" ") for p in own)
+        node.says = node.says or any(len(x.split()) >= SENTENCE_WORDS for p in own for x in SENTENCE_END.split(p)[:-1])
         if node.tag == "a":
             node.link_chars = node.chars
         if node.parent is not None:
+            node.parent.says |= node.says
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
             node.parent.holds |= node.holds or node.tag == "h1" and node.within
@@ -207,7 +218,9 @@ def settle(top: Node) -> None:
             elif node.holds:
                 node.drop = False
             elif node.within and node.suspect != "wrapper":
-                node.drop = node.link_chars > LINKED * node.chars or node.suspect == "strong" and plain <= SMALL * whole
+                small = plain <= SMALL * whole
+                own = not node.link_chars and (node.tag in ITEMS or node.says)  # a part of the article that only has such a name
+                node.drop = node.link_chars > LINKED * node.chars or small and (node.suspect == "paid" or node.suspect == "strong" and not own)
             else:
                 node.drop = top.holds or 2 * plain <= whole or not any(isinstance(p, Node) for p in node.parts)
     for node in nodes:

@@ -1,7 +1,7 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal a protected entity.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns; values that a credential's name
-is set to are found as ``secret`` too.  Protected entities are what recurs in the values found, at three levels: the
+is set to are found as ``secret`` too, if they have a digit or mixed case, as words don't.  Protected entities are what recurs in the values found, at three levels: the
 value itself, the group it belongs to (an e-mail's domain, an address's first half, a phone number without its last seven
 digits, a card's issuer digits) and its kind.  A term t is a word of letters and digits, or two in a row; it occurs with
 an entity e if it stands within ``WINDOW`` words of a span of e.  With document counts over the whole corpus, N, n(t),
@@ -55,6 +55,7 @@ FIND = {"ip": re.compile("(?<![0-9])" + PATTERNS["ip"].replace("]+", "]++")), "c
 SECRET = re.compile(r"""(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20{0,3}[:=]\x20{0,3}["']?([A-Za-z0-9_./+=-]{8,})""")
 WORD = re.compile(r"[^\W_]+")
 HAS_DIGIT = re.compile(r"[0-9]")
+MIXED = re.compile(r"[a-z][A-Z]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -100,7 +101,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
-    return [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text)] if "=" in text or ":" in text else []
+    return [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text) if is_random(m[1])] if "=" in text or ":" in text else []
+
+
+def is_random(value: str) -> bool:
+    """What tells a credential from a word that a name happens to stand before: a digit, or a capital after a small letter."""
+    return HAS_DIGIT.search(value) is not None or MIXED.search(value) is not None
 
 
 def joined(spans) -> str:
@@ -185,8 +191,9 @@ def text_key(text: str) -> bytes:
 def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, kind_support: int = KIND_SUPPORT) -> DataFrame:
     """term, disclosure, kind (that of its entity) of the terms to generalise or remove."""
     n = F.lit(float(marks.count()))
-    each = marks.where(F.size("contexts") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("contexts").alias("c"))
-    each = each.select("row", F.explode("c.entities").alias("entity"), "c.context", "c.terms")
+    # rows are numbered in a select of their own: beside the explode each span would be a document
+    numbered = marks.where(F.size("contexts") > 0).select(F.monotonically_increasing_id().alias("row"), "contexts")
+    each = numbered.select("row", F.explode("contexts").alias("c")).select("row", F.explode("c.entities").alias("entity"), "c.context", "c.terms")
     enough = F.col("n_contexts") >= F.when(F.col("entity").contains(":"), support).otherwise(kind_support)
     held = each.groupBy("entity").agg(F.countDistinct("row").alias("n_e"), F.countDistinct("context").alias("n_contexts"))
     often = durable(held.where(enough & (F.log2(n / F.col("n_e")) >= LEAST_BITS)).select("entity", "n_e"))

@@ -105,3 +105,27 @@ def test_hostile_markup_takes_linear_time(piece, end):
     start = time.process_time()
     html_text.main_text("<p>begin</p>" + piece * (60_000 // len(piece)) + end)
     assert time.process_time() - start < 1.5
+
+
+PART = "This is a long sentence about things that matter to the reader today."
+
+
+@pytest.mark.parametrize("fragment,kept", [
+    ('<section class="user-comments"><p>First! I think this is bad. Really.</p></section>', ""),
+    ('<section class="promo-box"><p>Buy now this thing. It is great.</p></section>', ""),
+    ("<p>For all <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> we have.</p>", "For all x=2 we have."),
+    ('<ul><li class="menu">dish menu item</li></ul>', "dish menu item"),
+    ('<div class="menu">The menu had three dishes and a soup that day.</div>', "The menu had three dishes and a soup that day."),
+    ('<div class="menu"><a href="x">Home</a> <a href="y">About</a></div>', ""),
+    ('<section class="newsletter">Our letters come each week to all who ask. No cost.</section>', ""),
+])
+def test_parts_of_an_article_by_name(fragment, kept):
+    banner = f"<section class='cookie-banner'>{'We use cookies to improve our site and you should accept them. ' * 30}</section>"
+    page = f"<html><body>{banner}<article>{f'<p>{PART}</p>' * 12}{fragment}</article></body></html>"
+    assert html_text.main_text(page).split("\n") == [PART] * 12 + [kept] * bool(kept)
+
+
+def test_nested_suspects_take_linear_time():
+    start = time.process_time()
+    html_text.main_text(f"<article><p>{PART}</p>" + "<div class='menu'>a " * 20_000 + "</article>")
+    assert time.process_time() - start < 5

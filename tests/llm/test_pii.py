@@ -70,7 +70,7 @@ def plain_disclosure(rows, window=pii.WINDOW):
     n, n_t, n_e, n_te, seen = len(rows), defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(set)
     for k, (_, text) in enumerate(rows):
         spans = [(kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in filter(None, brute(text).split(",")))]
-        spans += [("secret", m.start(1), m.end(1)) for m in re.finditer(pii.SECRET.pattern, text)]
+        spans += [("secret", m.start(1), m.end(1)) for m in re.finditer(pii.SECRET.pattern, text) if re.search("[0-9]|[a-z][A-Z]", m[1])]
         words = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text) if not any(m.start() < b and m.end() > a for _, a, b in spans)]
         for t in {w for _, w in words} | {f"{x} {y}" for (_, x), (_, y) in zip(words, words[1:], strict=False)}:
             n_t[t] += 1
@@ -127,6 +127,30 @@ def test_disclosure_of_groups_kinds_and_pairs(spark):
     assert "quorum" not in clean[9] and clean[1] == dict(rows)[1] and "[SECRET]" in clean[5]
 
 
+def test_texts_with_several_spans_count_once(spark):
+    """Counts are of documents: no disclosure exceeds 1, and a term that mostly stands elsewhere stays."""
+    rng, words = random.Random(6), [f"word{i}" for i in range(60)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, some(30)) for i in range(400)]
+    for i in range(0, 60, 20):  # three documents, each with the entity several times
+        rows[i] = (i, " ".join(f"{some(9)} plonk a{k}@one.example {some(9)}" for k in range(6)))
+    for i in range(100, 120):
+        rows[i] = (i, f"{some(10)} plonk {some(10)}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = pii.revealing(docs, pii.marked(docs, []), generalise=0.0).collect()
+    assert told and max(r.disclosure for r in told) <= 1 + 1e-9
+    plonk = next(r.disclosure for r in told if r.term == "plonk")
+    assert plonk == pytest.approx(log2(400 * 3 / (23 * 3)) / log2(400 / 3))
+    got = {r.term: round(r.disclosure, 9) for r in pii.revealing(docs, pii.marked(docs, [])).collect()}
+    assert got == plain_disclosure(rows) and "plonk" not in got
+    assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[100] == rows[100][1]
+
+
+@pytest.mark.parametrize("text,found", [("the token: tokenization is a step", 0), ("password: required-field", 0), ("password = hunter2hunter2", 1), ("api_key: 'AbCdEfGhIjKl'", 1), ('token = "04dbebab91ab85687d33"', 1)])
+def test_words_are_no_credentials(text, found):
+    assert len(pii.secret_spans(text)) == found
+
+
 def test_disclosure_on_the_tables_against_brute_force(spark, sf_dir, texts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.term: round(r.disclosure, 9) for r in pii.revealing(docs, pii.marked(docs, [])).collect()}
