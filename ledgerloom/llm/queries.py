@@ -97,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in n)) for n in license.notices())
 _COMMON = ", ".join(f"'{w}'" for w in license.COMMON)
 _TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({_COMMON}))"
+_KNOWN = ", ".join(f"('{k.lower()}', '{k}')" for k in license.NAMES)
 _COMMENTS = license.COMMENT.replace("(?md)", "")
 
 ORACLES: dict[str, str] = {
@@ -106,7 +107,7 @@ ORACLES: dict[str, str] = {
                 coalesce(doc_id, 0) % 2 = 0 AND contains(lower(coalesce(text, '')), 'licens') AS by_name, row_number() OVER () AS file
             FROM documents
         ), files AS (
-            SELECT doc_id, file, text, '/' || src || '/' || CAST(d // 1000 AS VARCHAR) || CASE WHEN by_name AND d % 4 = 0 THEN '' ELSE '/' || CAST(d // 50 AS VARCHAR) END
+            SELECT doc_id, file, text AS whole, regexp_replace(text, '{license.TAG_LINE}', '', 'g') AS text, '/' || src || '/' || CAST(d // 1000 AS VARCHAR) || CASE WHEN by_name AND d % 4 = 0 THEN '' ELSE '/' || CAST(d // 50 AS VARCHAR) END
                 || '/' || CASE WHEN by_name THEN 'LICENSE-' ELSE '' END || coalesce(CAST(doc_id AS VARCHAR), '') AS path, by_name
             FROM laid
         ), marked AS (
@@ -139,10 +140,17 @@ ORACLES: dict[str, str] = {
         lengths AS (
             SELECT u, sqrt(sum(w * w) + power(ln((1.0::DOUBLE + any_value(total)) / (1 + sqrt(any_value(total)))) + 1, 2) * (any_value(n) - sum(tf))) AS length
             FROM w, total GROUP BY u
+        ), known(id, license) AS (VALUES {_KNOWN}),
+        tags AS (SELECT path, row_number() OVER () AS tag, expression FROM (SELECT path, unnest(regexp_extract_all(whole, '{license.TAG}', 1)) AS expression FROM files)),
+        words AS (SELECT path, tag, t AS word, p FROM (SELECT path, tag, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT path, tag, list_filter(string_split_regex(regexp_replace(expression, '{license.EXCEPTION}', '', 'g'), '[ ()]+'), lambda t: t <> '') AS ts FROM tags))),
+        exact AS (
+            SELECT path, string_agg(CASE WHEN upper(word) IN ('AND', 'OR') THEN upper(word) ELSE license END, ' ' ORDER BY p) AS license
+            FROM words LEFT JOIN known ON id = lower(regexp_replace(word, '{license.VERSIONS}', '')) GROUP BY path, tag HAVING bool_and(upper(word) IN ('AND', 'OR') OR license IS NOT NULL)
         ), found AS (
             SELECT path, license, round(sum(w * v / norm) / any_value(length), 6) AS score
             FROM w JOIN own USING (term) JOIN norms USING (license, notice) JOIN lengths USING (u) GROUP BY path, u, license, notice
             HAVING score >= {license.LEAST}
+            UNION ALL SELECT path, license, 1.0::DOUBLE FROM exact
         ), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
         homes AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS home FROM files),
         grants AS (
