@@ -190,3 +190,8 @@ def test_bloom_filter_holds_all_and_few_others(spark):
     everyone = ids.unionAll(spark.range(1000, 1100)).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)"))
     inside, outside = bloom.rows_where(everyone, "id", sent), bloom.rows_where(everyone, "id", sent, inside=False)
     assert {r.id for r in inside.collect()} >= {-3, 0, 5, 1 << 60} and inside.count() + outside.count() == 105
+
+
+def test_words_by_translation(texts):
+    for text in [*(t or "" for t in texts.values()), "a_b\u00a0c\u3000d\x85e\u2028f \u0661\u00bd\u2460 \u4e2d\u6587 x\u0301y \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "".join(map(chr, range(0x3000)))]:
+        assert pii.words_of(text) == pii.WORD.findall(text)
