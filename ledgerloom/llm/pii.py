@@ -32,6 +32,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import bloom
 from ledgerloom.llm.common import BIN, DBL, INT, LONG, STR, durable, free_name, map_rows, struct
 
-WINDOW, SUPPORT, KIND_SUPPORT, LEAST_BITS, GENERALISE, REMOVE, COUNTED, FEW = 8, 3, 8, 3.0, 0.8, 0.95, 200_000, 64
+WINDOW, SUPPORT, KIND_SUPPORT, LEAST_BITS, GENERALISE, REMOVE, COUNTED, FEW = 8, 3, 8, 3.0, 0.8, 0.95, 200_000, 20_000
 # The patterns of the base kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -207,12 +208,21 @@ def terms_in(text: str, known: Remembered) -> set[str]:
     return found
 
 
-def may_hold(text: str, known: Remembered, few: list[str] | None) -> bool:
-    """Whether a term may be in a text: by its words, or by the first words of the terms if these are few."""
-    if few is not None and "\u03a3" not in text:  # a capital sigma's lower case depends on what follows
-        low = text.lower()
-        return any(w in low for w in few)
-    return any(alone or begins for alone, begins, _, _ in map(known.__getitem__, set(words_of(text))))
+def automaton(words: list[str]):
+    """Finds all of some words in one pass over a text."""
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def may_hold(text: str, known: Remembered, firsts) -> bool:
+    """Whether a term may be in a text: by an automaton of the terms' first words, or without one by all words of the text."""
+    if firsts is None or "\u03a3" in text:  # a capital sigma's lower case depends on what follows
+        return any(alone or begins for alone, begins, _, _ in map(known.__getitem__, set(words_of(text))))
+    low = text.lower()
+    return any(not low[end - n : end - n + 1].isalnum() and not low[end + 1 : end + 2].isalnum() if end >= n else not low[end + 1 : end + 2].isalnum() for end, n in firsts.iter(low))
 
 
 def _filter(terms: DataFrame):
@@ -277,13 +287,13 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """key and short (Spark's xxhash64) of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
     sent = _filter(terms)
     some = terms.select(F.substring_index("term", " ", 1).alias("w")).distinct().limit(FEW + 1).collect()
-    few = [r.w for r in some] if len(some) <= FEW else None
+    few = [r.w for r in some] if 0 < len(some) <= FEW else None
 
     def rows(it):
-        known = Remembered(bloom.tester(sent.value))
+        known, firsts = Remembered(bloom.tester(sent.value)), automaton(few) if few else None
         for (text,) in it:
             text = text or ""
-            if not may_hold(text, known, few):
+            if not may_hold(text, known, firsts):
                 continue
             key = text_key(text)
             short = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)

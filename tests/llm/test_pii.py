@@ -195,3 +195,10 @@ def test_bloom_filter_holds_all_and_few_others(spark):
 def test_words_by_translation(texts):
     for text in [*(t or "" for t in texts.values()), "a_b\u00a0c\u3000d\x85e\u2028f \u0661\u00bd\u2460 \u4e2d\u6587 x\u0301y \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "".join(map(chr, range(0x3000)))]:
         assert pii.words_of(text) == pii.WORD.findall(text)
+
+
+def test_automaton_finds_whole_words():
+    known = pii.Remembered(lambda w: w in ("one", "two ", "\u00e9t\u00e9"))
+    firsts = pii.automaton(["one", "two", "\u00e9t\u00e9"])
+    for text, holds in [("one", True), ("xone oney", False), ("a ONE!", True), ("two", True), ("\u00c9T\u00c9", True), ("o ne", False), ("", False), ("one_", True), ("1one", False), ("\u03a3 one", True), ("\u03a3 none", False)]:
+        assert pii.may_hold(text, known, firsts) == pii.may_hold(text, known, None) == holds
