@@ -1,4 +1,4 @@
-"""What data says about how to match it: rules from confirmed pairs, previews, keys, field mappings, cardinality."""
+"""What data says about how to match it: rules from confirmed pairs, previews, named keys, cardinality."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import field_name, js_number, tolerance_match
+from ledgerloom.functions import js_number, tolerance_match
 from ledgerloom.operators.asof import join_asof
 from ledgerloom.operators.joins import free_name
 from ledgerloom.plans.rules import ORDERS, Condition, Rule, match_rule
@@ -27,11 +27,6 @@ def confirmed(pairs: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
     return pairs
 
 
-def _cells(columns: list[str]):
-    """The columns of a row as an array of place, name and text."""
-    return F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("text")) for i, c in enumerate(columns)))
-
-
 #: Rows of which all pairs of columns are compared at a time.
 COMPARED = 512
 
@@ -153,19 +148,3 @@ def cardinality(pairs: DataFrame, left_key: str, right_key: str) -> DataFrame:
     many_right, many_left = F.col("most_per_left") > 1, F.col("most_per_right") > 1
     pattern = F.when(many_right & many_left, "N:M").when(many_right, "1:N").when(many_left, "M:1").otherwise("1:1")
     return both.withColumn("pattern", pattern)
-
-
-def field_mapping(left: DataFrame, right: DataFrame, least: float = 0.5, sample: int = 1000) -> DataFrame:
-    """left_col, right_col, score: one-to-one, by likeness of names, equal types and shared values of a sample."""
-    spark = left.sparkSession
-    values = lambda df: df.limit(sample).select(F.explode(_cells(df.columns)).alias("c")).where("c.text <> ''").select(F.col("c.name").alias("name"), F.col("c.text").alias("text")).distinct()
-    l, r = values(left), values(right)  # noqa: E741
-    shared = l.alias("l").join(r.alias("r"), F.col("l.text") == F.col("r.text")).groupBy(F.col("l.name").alias("left_col"), F.col("r.name").alias("right_col")).agg(F.count("*").alias("shared"))
-    sizes = l.groupBy(F.col("name").alias("left_col")).agg(F.count("*").alias("size"))
-    pairs = spark.createDataFrame([(a, b, ta == tb) for a, ta in left.dtypes for b, tb in right.dtypes], "left_col string, right_col string, same_type boolean")
-    a, b = field_name(F.col("left_col")), field_name(F.col("right_col"))
-    likeness = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    overlap = F.coalesce(F.col("shared") / F.col("size"), F.lit(0.0))
-    scored = pairs.join(shared, ["left_col", "right_col"], "left").join(sizes, "left_col", "left").select("left_col", "right_col", (0.4 * likeness + 0.2 * F.col("same_type").cast("double") + 0.4 * overlap).alias("score"))
-    best = lambda k, other: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("score"), other))
-    return scored.where(F.col("score") > least).withColumns({"i": best("left_col", "right_col"), "j": best("right_col", "left_col")}).where("i = 1 AND j = 1").drop("i", "j")

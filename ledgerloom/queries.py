@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import field_name, js_number, key_of, register, relative_match, signed_relative_match, tolerance_match
 from ledgerloom.operators import joins, metrics
 from ledgerloom.operators.asof import join_asof
-from ledgerloom.plans import evidence, infer, reports, rules, runner
+from ledgerloom.plans import columns, evidence, infer, reports, rules, runner
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import scoped
 from ledgerloom.sources.filters import FilterCondition, apply_filters
@@ -375,6 +376,66 @@ def detect_pk(t):
     return reduce(DataFrame.unionAll, [infer.detect_key(t(n)).select(F.lit(n).alias("tab"), "*") for n in ("customer", "events", "lineitem")])
 
 
+_KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+
+
+def _keys_oracle() -> str:
+    sets = [s for n in (1, 2, 3) for s in combinations(_KEY_COLUMNS, n)]
+    told = " UNION ALL ".join(f"SELECT {list(s)} AS k, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem)) = (SELECT count(*) FROM lineitem) AS ok" for s in sets)
+    return f"WITH a AS (SELECT k FROM ({told}) WHERE ok) SELECT array_to_string(k, ',') AS key, (SELECT count(*) FROM lineitem) AS rows FROM a WHERE NOT EXISTS (SELECT 1 FROM a AS b WHERE len(b.k) < len(a.k) AND list_has_all(a.k, b.k))"
+
+
+@query(_keys_oracle())
+def composite_keys(t):
+    return columns.find_keys(t("lineitem"), _KEY_COLUMNS).select(F.array_join("key", ",").alias("key"), "rows")
+
+
+_CUSTOMER = {"c_custkey": "long", "c_name": "text", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "text"}
+_SUPPLIER = {"s_suppkey": "long", "s_name": "text", "s_nationkey": "int", "s_acctbal": "double"}
+
+
+def _share(left: str, a: str, right: str, b: str) -> str:
+    """The share of a's distinct texts that b has, exactly."""
+    texts = lambda c, tab: f"SELECT DISTINCT {c}::VARCHAR AS v FROM {tab} WHERE {c}::VARCHAR <> ''"
+    return f"(SELECT coalesce(avg((v IN ({texts(b, right)}))::INT), 0) FROM ({texts(a, left)}))"
+
+
+def _mapping_oracle() -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS left_col, '{b}' AS right_col, 0.4::DOUBLE * (1 - levenshtein('{a}', '{b}') / greatest(length('{a}'), length('{b}'))) + {0.2 if x == y else 0}::DOUBLE + 0.4::DOUBLE * {_share('customer', a, 'supplier', b)} AS score"
+        for (a, x), (b, y) in product(_CUSTOMER.items(), _SUPPLIER.items())
+    )
+    rank = lambda k, other: f"row_number() OVER (PARTITION BY {k} ORDER BY score DESC, {other})"
+    return f"SELECT left_col, right_col, round(score, 2) AS score FROM ({pairs}) WHERE score > 0.5 QUALIFY {rank('left_col', 'right_col')} = 1 AND {rank('right_col', 'left_col')} = 1"
+
+
+@query(_mapping_oracle())
+def field_mapping(t):
+    return columns.field_mapping(t("customer"), t("supplier")).withColumn("score", F.round("score", 2))
+
+
+#: Pairs of columns of many and of few values; the last three have so few beside the other's that sketches tell nothing.
+_SHARED = [
+    ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("orders", "o_custkey", "lineitem", "l_partkey"), ("orders", "o_totalprice", "lineitem", "l_extendedprice"),
+    ("orders", "o_orderkey", "customer", "c_custkey"), ("customer", "c_nationkey", "lineitem", "l_orderkey"), ("events", "event_type", "lineitem", "l_extendedprice"), ("nation", "n_nationkey", "orders", "o_orderkey"),
+]
+_SHARED_SQL = [f"SELECT '{a}' AS left_col, '{b}' AS right_col, round({_share(l, a, r, b)}, 6) AS exact, true AS within" for l, a, r, b in _SHARED]
+
+
+@query(" UNION ALL ".join(_SHARED_SQL))
+def shared_values(t):
+    """The overlap counted exactly, and whether the sketched one is within 0.03 of it."""
+
+    def told(left, a, right, b):
+        l, r = t(left).select(a), t(right).select(b)  # noqa: E741
+        texts = lambda df: df.select(F.col(df.columns[0]).cast("string").alias("v")).where("v <> ''").distinct()
+        both = texts(l).join(texts(r).withColumn("met", F.lit(1)), "v", "left").agg(F.coalesce(F.avg(F.coalesce("met", F.lit(0))), F.lit(0.0)).alias("exact"))
+        sketched = columns.shared_values(l, r, [(0, 0)]).first().overlap
+        return both.select(F.lit(a).alias("left_col"), F.lit(b).alias("right_col"), F.round("exact", 6).alias("exact"), (F.abs(F.col("exact") - sketched) <= 0.03).alias("within"))
+
+    return reduce(DataFrame.unionAll, [told(*p) for p in _SHARED])
+
+
 @query("""
     WITH p AS (SELECT o_orderkey, o_custkey FROM orders), l AS (SELECT max(n) AS a FROM (SELECT count(*) AS n FROM p GROUP BY o_orderkey)), r AS (SELECT max(n) AS b FROM (SELECT count(*) AS n FROM p GROUP BY o_custkey))
     SELECT a AS most_per_left, b AS most_per_right, CASE WHEN a > 1 AND b > 1 THEN 'N:M' WHEN a > 1 THEN '1:N' WHEN b > 1 THEN 'M:1' ELSE '1:1' END AS pattern FROM l, r

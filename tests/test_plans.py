@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import infer, recipe, reports, rules
+from ledgerloom.plans import columns, infer, recipe, reports, rules
 from ledgerloom.plans.evidence import EvidenceStore
 from ledgerloom.plans.runner import JobRequest, JobService, JobSource, MatchError, output_key, run_job
 
@@ -207,7 +207,7 @@ def test_keys_mapping_cardinality(spark):
     assert infer.cardinality(df.limit(0), "name", "order_id").first().pattern == "1:1"
     l = spark.createDataFrame([("I1", 5.0), ("I2", 6.0)], "`Invoice No` string, amount double")  # noqa: E741
     r = spark.createDataFrame([("I1", 5.0), ("I9", 6.0)], "invoice_no string, paid_amount double")
-    assert {(x.left_col, x.right_col) for x in infer.field_mapping(l, r).collect()} == {("Invoice No", "invoice_no"), ("amount", "paid_amount")}
+    assert {(x.left_col, x.right_col) for x in columns.field_mapping(l, r).collect()} == {("Invoice No", "invoice_no"), ("amount", "paid_amount")}
 
 
 def test_aging(spark):
