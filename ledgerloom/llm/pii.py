@@ -32,7 +32,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import bloom
 from ledgerloom.llm.common import BIN, DBL, INT, LONG, STR, durable, free_name, map_rows, struct
 
-WINDOW, SUPPORT, KIND_SUPPORT, LEAST_BITS, GENERALISE, REMOVE, COUNTED, FEW = 8, 3, 8, 3.0, 0.8, 0.95, 200_000, 20_000
+WINDOW, SUPPORT, KIND_SUPPORT, LEAST_BITS, GENERALISE, REMOVE, COUNTED = 8, 3, 8, 3.0, 0.8, 0.95, 400_000
 # The patterns of the base kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -154,30 +154,41 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW)
     return out
 
 
-def terms_of(words: list[tuple[int, int, str]], known: Remembered) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of the words, and pairs of neighbours, that may be in a filter."""
-    for k, (a, b, w) in enumerate(words):
-        alone, begins, _, _ = known[w]
-        if alone:
-            yield w, a, b
-        if k + 1 < len(words) and begins and known.test(pair := f"{w} {words[k + 1][2]}"):
-            yield pair, a, words[k + 1][1]
-
-
-class Remembered(dict):
-    """What is known of a word, as written; texts repeat most of their words.  It starts anew at ``COUNTED`` words."""
+class Coded(dict):
+    """Codes of words, as texts repeat most of theirs, and what is known of each: may it be a term, may a pair begin or end with it."""
 
     def __init__(self, test):
         super().__init__()
-        self.test = test
-
-    def __missing__(self, word: str) -> tuple[bool, bool, bool, str]:
-        """Whether the word may be a term, whether a pair that begins, or one that ends, with it may be one, and the word in lower case."""
-        if len(self) >= COUNTED:
+        self.test, self.words, self.pairs, self.flags = test, [], {}, np.zeros((3, 1 << 12), bool)
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self.words)
+        if code == self.flags.shape[1]:
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], axis=1)
+        self.words.append(word)
+        self.flags[:, code] = self.test(word), self.test(word + " "), self.test(" " + word)
+        return code
+
+    def pair(self, key: int) -> bool:
+        got = self.pairs.get(key)
+        if got is None:
+            got = self.pairs[key] = self.test(f"{self.words[key >> 32]} {self.words[key & 0xFFFFFFFF]}")
+        return got
+
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' codes, the places of those that may be terms, of those that may be one with the next, and the keys of the latter.
+
+        Codes hold until the next call: with ``COUNTED`` words or pairs they start anew."""
+        if len(self.words) >= COUNTED or len(self.pairs) >= COUNTED:
             self.clear()
-        low = word.lower()
-        self[word] = answer = self.test(low), self.test(low + " "), self.test(" " + low), low
-        return answer
+            self.words, self.pairs = [], {}
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        alone, begins, ends = self.flags
+        may = np.flatnonzero(begins[codes[:-1]] & ends[codes[1:]])
+        both = codes[may] << 32 | codes[may + 1]
+        different, each = np.unique(both, return_inverse=True)
+        good = np.fromiter(map(self.pair, different.tolist()), bool, len(different))[each]
+        return codes, np.flatnonzero(alone[codes]), may[good], both[good]
 
 
 class Spaced(dict):
@@ -192,37 +203,34 @@ SPACED = Spaced()
 
 
 def words_of(text: str) -> list[str]:
-    """What WORD finds, faster."""
-    return text.translate(SPACED).split()
+    """What WORD finds, in lower case, faster."""
+    return text.translate(SPACED).lower().split()
 
 
-def terms_in(text: str, known: Remembered) -> set[str]:
-    """The terms that may be in a text's free words; where no span is, without their places."""
-    spans = [*base_spans(text), *secret_spans(text)]
-    words = [text[a:b] for a, b, _ in free_words(text, spans)] if spans else words_of(text)
-    told = [(w, *known[w]) for w in set(words)]
-    found, firsts, seconds = {low for _, alone, _, _, low in told if alone}, {w: low for w, _, begins, _, low in told if begins}, {w: low for w, _, _, ends, low in told if ends}
-    if firsts and seconds:
-        pairs = {(x, y) for x, y in zip(words, words[1:], strict=False) if x in firsts and y in seconds}
-        found |= {p for x, y in pairs if known.test(p := f"{firsts[x]} {seconds[y]}")}
-    return found
+def free_words_of(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The words of free_words in lower case; where no span is, without their places."""
+    return [w for _, _, w in free_words(text, spans)] if spans else words_of(text)
 
 
-def automaton(words: list[str]):
-    """Finds all of some words in one pass over a text."""
-    found = ahocorasick.Automaton()
-    for w in words:
-        found.add_word(w, len(w))
-    found.make_automaton()
-    return found
+def terms_in(text: str, known: Coded) -> set[str]:
+    """The terms that may be in a text's free words."""
+    codes, alone, _, pairs = known.hits(free_words_of(text, [*base_spans(text), *secret_spans(text)]))
+    words = known.words
+    return {words[c] for c in np.unique(codes[alone]).tolist()} | {f"{words[k >> 32]} {words[k & 0xFFFFFFFF]}" for k in np.unique(pairs).tolist()}
 
 
-def may_hold(text: str, known: Remembered, firsts) -> bool:
-    """Whether a term may be in a text: by an automaton of the terms' first words, or without one by all words of the text."""
-    if firsts is None or "\u03a3" in text:  # a capital sigma's lower case depends on what follows
-        return any(alone or begins for alone, begins, _, _ in map(known.__getitem__, set(words_of(text))))
-    low = text.lower()
-    return any(not low[end - n : end - n + 1].isalnum() and not low[end + 1 : end + 2].isalnum() if end >= n else not low[end + 1 : end + 2].isalnum() for end, n in firsts.iter(low))
+def placed_terms(text: str, known: Coded) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the free words, and pairs of neighbours, that may be terms; most texts end before words are placed."""
+    spans = [*base_spans(text), *secret_spans(text)]
+    placed = free_words(text, spans) if spans else None
+    _, alone, pairs, _ = known.hits([w for _, _, w in placed] if spans else words_of(text))
+    if len(alone) or len(pairs):
+        placed = placed or free_words(text, spans)
+        for k in alone.tolist():
+            a, b, w = placed[k]
+            yield w, a, b
+        for k in pairs.tolist():
+            yield f"{placed[k][2]} {placed[k + 1][2]}", placed[k][0], placed[k + 1][1]
 
 
 def _filter(terms: DataFrame):
@@ -268,7 +276,7 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
     sent = _filter(both)
 
     def count(it):
-        known, found = Remembered(bloom.tester(sent.value)), Counter()
+        known, found = Coded(bloom.tester(sent.value)), Counter()
         for (text,) in it:
             found.update(terms_in(text or "", known))
             if len(found) > COUNTED:
@@ -286,20 +294,17 @@ def revealing(docs: DataFrame, marks: DataFrame, support: int = SUPPORT, general
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """key and short (Spark's xxhash64) of a text, and the spans of revealing terms in it: array of (start, end, disclosure, kind), by start."""
     sent = _filter(terms)
-    some = terms.select(F.substring_index("term", " ", 1).alias("w")).distinct().limit(FEW + 1).collect()
-    few = [r.w for r in some] if 0 < len(some) <= FEW else None
 
     def rows(it):
-        known, firsts = Remembered(bloom.tester(sent.value)), automaton(few) if few else None
+        known = Coded(bloom.tester(sent.value))
         for (text,) in it:
-            text = text or ""
-            if not may_hold(text, known, firsts):
-                continue
-            key = text_key(text)
-            short = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
-            short -= (short >> 63) << 64
-            for term, a, b in terms_of(free_words(text, [*base_spans(text), *secret_spans(text)]), known):
-                yield key, short, term, a, b
+            found = list(placed_terms(text or "", known))
+            if found:
+                key = text_key(text)
+                short = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+                short -= (short >> 63) << 64
+                for term, a, b in found:
+                    yield key, short, term, a, b
 
     seen = map_rows(docs.select("text"), rows, struct(key=BIN, short=LONG, term=STR, start=INT, end=INT))
     # equal texts have equal spans: once for each text, before a key's spans are gathered

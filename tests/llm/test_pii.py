@@ -194,11 +194,25 @@ def test_bloom_filter_holds_all_and_few_others(spark):
 
 def test_words_by_translation(texts):
     for text in [*(t or "" for t in texts.values()), "a_b\u00a0c\u3000d\x85e\u2028f \u0661\u00bd\u2460 \u4e2d\u6587 x\u0301y \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "".join(map(chr, range(0x3000)))]:
-        assert pii.words_of(text) == pii.WORD.findall(text)
-
-
-def test_automaton_finds_whole_words():
-    known = pii.Remembered(lambda w: w in ("one", "two ", "\u00e9t\u00e9"))
-    firsts = pii.automaton(["one", "two", "\u00e9t\u00e9"])
-    for text, holds in [("one", True), ("xone oney", False), ("a ONE!", True), ("two", True), ("\u00c9T\u00c9", True), ("o ne", False), ("", False), ("one_", True), ("1one", False), ("\u03a3 one", True), ("\u03a3 none", False)]:
-        assert pii.may_hold(text, known, firsts) == pii.may_hold(text, known, None) == holds
+        assert pii.words_of(text) == [w.lower() for w in pii.WORD.findall(text)]
+
+
+def plain_terms(text, may):
+    words = pii.free_words(text, [*pii.base_spans(text), *pii.secret_spans(text)])
+    pairs = [(f"{x[2]} {y[2]}", x[0], y[1]) for x, y in zip(words, words[1:], strict=False)]
+    return sorted([(w, a, b) for a, b, w in words if w in may] + [p for p in pairs if p[0] in may])
+
+
+@pytest.mark.parametrize("counted", [3, 1000])
+def test_terms_as_by_plain_search(monkeypatch, counted):
+    """Also where codes start anew at every text."""
+    monkeypatch.setattr(pii, "COUNTED", counted)
+    rng = random.Random(3)
+    terms = {"one", "two one", "\u00e9t\u00e9", "a b", "\u03bf\u03b4\u03cc\u03c2 b", "i\u0307x", "b b"}
+    filtered = {*terms, *(f"{t.split()[0]} " for t in terms if " " in t), *(f" {t.split()[1]}" for t in terms if " " in t)}
+    known = pii.Coded(filtered.__contains__)
+    parts = ["one", "Two", "two", "a", "b", "B", "\u00c9T\u00c9", "\u039f\u0394\u038c\u03a3", "\u0130x", "me@x.org", "+1 555 123 4567", "token=abc12345", "onetwo"]
+    for text in ["", "one", "two\n one", "a b@c.org b", *("".join(rng.choice(parts) + rng.choice([" ", "  ", "-", "_", "'", ". ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(400))]:
+        want = plain_terms(text, terms)
+        assert sorted(pii.placed_terms(text, known)) == want
+        assert pii.terms_in(text, known) == {t for t, _, _ in want}
