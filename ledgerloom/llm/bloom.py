@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, release_memory
+from ledgerloom.llm.common import map_batches, release_memory, send
 
 BITS, REMEMBERED = 25, 200_000
 
@@ -27,7 +27,7 @@ def build(values: DataFrame, column: str):
     bits[got["w"].to_numpy()] = got["b"].to_numpy()
     del got
     release_memory()
-    return values.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
+    return send(values.sparkSession, bits.astype(np.uint32))
 
 
 def holds(bits: np.ndarray, value: bytes) -> bool:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import BIN, INT, LONG, STR, map_rows, shuffle_width, struct
+from ledgerloom.llm.common import BIN, INT, LONG, STR, map_rows, send, shuffle_width, struct
 
 BLOCK = 32 << 20
 #: Words whose ids a task keeps.  One with more starts anew, and may encode a word again; the result is the same.
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, json_path: str, block: int = BLOCK, remembered: int
 def _joined(docs: DataFrame, json_path: str, block: int, remembered: int, columns: T.StructType, give) -> DataFrame:
     spark = docs.sparkSession
     parts, docs = shuffle_width(spark), docs.select("doc_id", "text")
-    vocab = spark.sparkContext.broadcast(open(json_path, "rb").read())
+    vocab = send(spark, open(json_path, "rb").read())
 
     def words_of_blocks(it):
         for key, _, _, words in blocks_of(it, splitter(library(vocab.value)), block):

@@ -7,10 +7,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +53,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 _tables: list[str] = []
+#: Weak, so that a broadcast that nothing uses any more also goes by itself.
+_sent: list[weakref.ref[Broadcast]] = []
+
+
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that ``forget`` takes from the executors and the driver."""
+    sent = spark.sparkContext.broadcast(value)
+    _sent.append(weakref.ref(sent))
+    return sent
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -64,13 +75,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes the tables stored so far; what is read from them must be written by then.  Done at the end of the driver."""
-    while _tables:
-        with contextlib.suppress(Exception):  # a stopped session can't remove them
+def held() -> tuple[int, int]:
+    """How many tables and broadcasts are held now, for ``forget``."""
+    return len(_tables), len(_sent)
+
+
+def forget(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
+    """Removes the tables stored and the broadcasts sent since then, or all; what is read from them must be written by now.  Done at the end of the driver."""
+    while len(_sent) > since[1]:
+        sent = _sent.pop()()
+        with contextlib.suppress(Exception):  # a stopped session can't destroy them
+            if sent is not None:
+                sent.destroy()
+    while len(_tables) > since[0]:
+        with contextlib.suppress(Exception):  # nor remove these
             remove(spark, _tables[-1])
         _tables.pop()
-    atexit.unregister(forget)
+    if not _tables:
+        atexit.unregister(forget)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import DBL, STR, durable, map_rows, release_memory
+from ledgerloom.llm.common import DBL, STR, durable, map_rows, release_memory, send
 
 SAMPLE, LONGEST_TEXT, KNOWN, LONGEST, FOLDS, MEMO = 4000, 200_000, 2, 5, 5, 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Up to so many languages their bounds are broadcast, a row each.
+BROADCAST_LANGS = 10_000
 
 
 def held_out() -> F.Column:
@@ -34,15 +36,22 @@ def held_out() -> F.Column:
 
 
 def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """lang, text of the labelled documents of least hash of each language; only hashes are compared to find the bounds."""
+    """lang, text of the labelled documents of least hash of each language.
+
+    Counts of the hashes' first 16 bits tell below which of them each language has enough, so that only about the
+    sample's rows are sorted, first those of a task and then those of a language, whatever the number of languages."""
     may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= LONGEST_TEXT))
     may = may.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    each = max(1, size // max(1, may.select("lang").distinct().count()))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = durable(may.select("lang", "h").withColumn("n", first).where(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last")))
-    # rows that repeat share a hash, so that the last of them may be beyond the bound
-    near = may.join(last, "lang").where("h <= last").withColumn("n", first)
-    return near.where(F.col("n") <= each).select("lang", "text")
+    slot = F.shiftright("h", 48)
+    slots = durable(may.groupBy("lang", slot.alias("slot")).agg(F.count("*").alias("n")))
+    langs = slots.select("lang").distinct().count()
+    each = max(1, size // max(1, langs))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = slots.withColumn("before", before).where(F.col("before") < each).groupBy("lang").agg(F.max("slot").alias("last"))
+    near = may.join(F.broadcast(last) if langs <= BROADCAST_LANGS else last, "lang").where(slot <= F.col("last")).withColumn("task", F.spark_partition_id())
+    for group in (["lang", "task"], ["lang"]):
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("n") <= each)
+    return near.select("lang", "text")
 
 
 def count_tables(sample: DataFrame, known: int = KNOWN, longest: int = LONGEST) -> DataFrame:
@@ -127,7 +136,7 @@ def fit(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
     """The kept columns, lang_pred and score.  Kept names must differ from these two."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def rows(it):
         predict = sent.value.predictor()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import INT, LONG, durable, map_rows, struct
+from ledgerloom.llm.common import INT, LONG, durable, map_rows, send, struct
 
 CAPACITY, END, ISLAND, EPOCHS, RELEASED, ELITE = 1024, 2, 16384, 2, 256, 32
 POPULATION, GENERATIONS = 8, 24
@@ -65,7 +65,7 @@ def byte_bpe(json: bytes, ranks: bytes, pattern: str):
 
 def vocabulary(spark: SparkSession, json_path: str, ranks_path: str | None = None):
     """The vocabulary's files as a broadcast; their size is fixed (a few MB)."""
-    return spark.sparkContext.broadcast(tuple(open(p, "rb").read() if p else b"" for p in (json_path, ranks_path)))
+    return send(spark, tuple(open(p, "rb").read() if p else b"" for p in (json_path, ranks_path)))
 
 
 PIECE = struct(piece=INT, start=LONG, length=LONG, ids_crc32=LONG)

@@ -17,7 +17,9 @@ of its links, not its pairs; components are then found by alternating star contr
 checkpoints.  Copies count once, as the fingerprint is the node.
 
 Defined cases: a null or wordless text has fingerprint 0; rows with equal texts, also repeated doc_ids, share a
-component; a component's id is its smallest doc_id that is not null, null if it has none; an empty table gives no row.
+component; a component's id is its smallest doc_id that is not null, null if it has none; an empty table gives no row;
+very long texts are fingerprinted whole, in blocks of hashes; extra columns pass through ``keep_one`` under any name, and
+of rows with equal doc_id and text it keeps one, with the extra columns of any of them.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import BIN, INT, LONG, durable, free_name, map_batches, map_rows, shuffle_width, struct, whole_keys
+from ledgerloom.llm.common import BIN, BOOL, INT, LONG, durable, free_name, map_batches, map_rows, release_memory, send, shuffle_width, struct, whole_keys
 from ledgerloom.llm.graph import components
 
 TILE, SEED = 2048, 42
@@ -334,9 +336,10 @@ def agree(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _commonness(docs: DataFrame, width: int):
-    """A broadcast of fixed size: by a hash's first bits, how many digits the count of the hashes has that repeat within a batch.
+    """A broadcast of fixed size, of two arrays by a hash's first bits: how many digits the count of the hashes has that
+    repeat within a batch, and whether that count is more than a quarter of a task's share of all.
 
-    It only orders the shingles; any order gives the same pairs, one with rare shingles first tries fewer."""
+    The digits only order the shingles; any order gives the same pairs, one with rare shingles first tries fewer."""
 
     def run(batches):
         for batch in batches:
@@ -344,11 +347,19 @@ def _commonness(docs: DataFrame, width: int):
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array((h[n > 1] >> np.uint64(64 - SLOTS)).astype(np.int32)), pa.array(n[n > 1].astype(np.int64))], names=["slot", "n"])
 
-    digits = np.zeros(1 << SLOTS, np.uint8)
+    counts = np.zeros(1 << SLOTS, np.int64)
     counted = map_batches(docs.select("text"), run, struct(slot=INT, n=LONG)).groupBy("slot").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # at most 2**SLOTS rows
-    digits[got["slot"].to_numpy()] = np.frexp(got["n"].to_numpy().astype(np.float64))[1]
-    return docs.sparkSession.sparkContext.broadcast(digits)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    del got
+    release_memory()
+    spark = docs.sparkSession
+    return send(spark, (np.frexp(counts.astype(np.float64))[1].astype(np.uint8), hot_slots(counts, shuffle_width(spark))))
+
+
+def hot_slots(counts: np.ndarray, tasks: int) -> np.ndarray:
+    """At most four slots a task."""
+    return 4 * tasks * counts > counts.sum()
 
 
 def prefix(h: np.ndarray, digits: np.ndarray) -> np.ndarray:
@@ -359,28 +370,42 @@ def prefix(h: np.ndarray, digits: np.ndarray) -> np.ndarray:
 
 
 def _shared(docs: DataFrame, width: int) -> DataFrame:
-    """token, node, n, at: the shingles of each set's prefix that another set's prefix has, the set's size and the shingle's place."""
-    sent, names = _commonness(docs, width), ["token", "node", "n", "at"]
+    """token, node, n, at: the shingles of each set's prefix that another set's prefix has, the set's size and the shingle's place.
+
+    Shingles of hot slots are dealt out by set instead of meeting in one task, and stay without being asked whether others
+    have them."""
+    sent, names = _commonness(docs, width), ["token", "node", "n", "at", "hot"]
 
     def run(batches):
-        digits = sent.value
+        digits, common = sent.value
         for batch in batches:
             for text in batch["text"].to_pylist():
                 h = shingle_set(text, width)
                 if len(h):
                     p = prefix(h, digits)
-                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), _set_node(h))), pa.array(np.full(len(p), len(h), np.int32)), pa.array(np.arange(len(p), dtype=np.int32))], names=names)
+                    hot = common[(p >> np.uint64(64 - SLOTS)).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), _set_node(h))), pa.array(np.full(len(p), len(h), np.int32)), pa.array(np.arange(len(p), dtype=np.int32)), pa.array(hot)], names=names)
 
-    rows = map_batches(docs.select("text"), run, struct(token=LONG, node=LONG, n=INT, at=INT)).distinct()
-    dealt = rows.repartition(shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token")
+    rows = map_batches(docs.select("text"), run, struct(token=LONG, node=LONG, n=INT, at=INT, hot=BOOL)).distinct()
+    dealt = rows.repartition(shuffle_width(docs.sparkSession), F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token")
+    return map_batches(dealt, repeated, rows.schema).drop("hot")
 
-    def met(batches):
-        for t in whole_keys(batches, ["token"]):
-            token = t["token"].to_numpy()
-            same = token[1:] == token[:-1]
-            yield from t.filter(pa.array(np.r_[same, False] | np.r_[False, same])).to_batches()
 
-    return map_batches(dealt, met, rows.schema)
+def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are hot, or whose token the row before or after has too, of rows sorted by hot and token; one row is held from batch to batch."""
+    held: tuple[pa.RecordBatch, bool] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the last row waits for the next; a row held knows whether the one before it was like it
+        rows = pa.Table.from_batches([held[0], batch] if held else [batch]).combine_chunks()
+        token, hot = rows["token"].to_numpy(), rows["hot"].to_numpy(zero_copy_only=False)
+        same = token[1:] == token[:-1]
+        keep = np.r_[held[1] if held else False, same] | np.r_[same, False] | hot
+        yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+        held = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+    if held and held[1]:
+        yield held[0]
 
 
 def _may_agree(x: str, y: str) -> F.Column:

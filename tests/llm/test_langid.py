@@ -111,3 +111,13 @@ def test_scores_against_brute_force(spark):
     for text in [" ".join(word(rng.choice(langs)) for _ in range(rng.randrange(1, 8))) for _ in range(200)] + ["qqq", "baq"]:
         got, want = predict(text), plain(text)
         assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
+def test_the_sample_is_of_least_hash_for_any_number_of_languages(spark):
+    rows = [(i, f"word{i % 211} more text {i % 97}", "abc"[i % k] * 2 if k < 4 else f"l{i % 7}") for k in (1, 2, 3, 4) for i in range(k * 10_000, k * 10_000 + 900)]
+    for k in (1, 2, 3, 4):
+        docs = spark.createDataFrame([r for r in rows if r[0] // 10_000 == k] + [(77, "one row again", rows[0][2])] * 300, "doc_id long, text string, lang string").repartition(5)
+        may = docs.where(~langid.held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+        langs = {r.lang for r in may}
+        want = sorted((r.lang, r.text) for lang in langs for r in sorted((r for r in may if r.lang == lang), key=lambda r: r.h)[: 600 // len(langs)])
+        assert sorted((r.lang, r.text) for r in langid.sample_of(docs, 600).collect()) == want

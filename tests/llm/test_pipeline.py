@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -61,6 +62,37 @@ def test_run_equals_its_stages(spark, corpus):
     assert pieces(corpus_pipeline.run(spark, folder)) == pieces(corpus_pipeline.STAGES[4][1](spark, docs, folder))
 
 
+def test_odd_rows_and_clashing_columns(spark, odd_docs, tmp_path):
+    """Nulls, repeated rows, and extra columns with the operators' names go through the chain."""
+    plain = "the plain words of this text are long enough to be told from all of the others"
+    more = spark.createDataFrame([(100 + i, f"{plain} number {'abcdefgh'[i] * 3} {i}", "en") for i in range(8)], "doc_id long, text string, lang string")
+    docs = odd_docs.unionByName(more, allowMissingColumns=True)
+    wide, columns = docs.unionByName(docs.where("doc_id = 9")), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, wide, "").write.parquet(str(tmp_path / name))
+        wide = spark.read.parquet(str(tmp_path / name))
+        assert wide.columns == columns
+    ids = [r.doc_id for r in wide.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and 2 not in ids and 3 not in ids
+    last = corpus_pipeline.STAGES[4][1](spark, wide, "").collect()
+    assert {r.doc_id for r in last} == set(ids)
+
+
+def test_what_a_stage_held_goes_and_no_more(spark):
+    from ledgerloom.llm import common
+
+    mine = common.send(spark, b"mine")
+    since = common.held()
+    other = common.send(spark, b"other")
+    table = common.stored(spark.range(3))
+    common.forget(spark, since)
+    assert common.held() == since and mine.value == b"mine"
+    assert spark.range(1).rdd.map(lambda _: mine.value).collect() == [b"mine"]
+    with pytest.raises(Exception, match="(?i)destroyed"):
+        spark.range(1).rdd.map(lambda _: other.value).collect()
+    assert not os.path.exists(table.inputFiles()[0].removeprefix("file:"))
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

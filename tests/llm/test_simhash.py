@@ -167,3 +167,46 @@ def test_columns_whose_names_differ_in_case_only_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ROW_HASH int")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["ROW_HASH"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_hot_shingles_are_dealt_out_by_set_and_lose_no_pair(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    notice = " ".join(f"notice{i}" for i in range(12))
+    rows = [(i, f"{notice} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(2))) for i in range(60)] + [(1000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))) for i in range(60)]
+    rows += [(2000, rows[70][1] + " tail"), (2001, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stays = lambda: sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    plain = stays()
+    assert 2000 not in plain and 2001 not in plain
+    for hot in (True, False):
+        monkeypatch.setattr(simhash, "hot_slots", lambda counts, tasks, hot=hot: np.full(len(counts), hot))
+        assert stays() == plain
+
+
+def test_hot_slots_are_few():
+    counts = np.zeros(1 << simhash.SLOTS, np.int64)
+    assert not simhash.hot_slots(counts, 8).any()
+    counts[:1000] = 1
+    counts[5] = 500
+    assert np.flatnonzero(simhash.hot_slots(counts, 8)).tolist() == [5]
+
+
+def test_repeated_tokens_over_edges_of_batches():
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = sorted((rng.random() < 0.2, rng.randrange(12)) for _ in range(rng.randrange(0, 25)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(4))
+        parts = [rows[i:j] for i, j in itertools.pairwise([0, *cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for _, t in part], pa.int64()), pa.array([h for h, _ in part], pa.bool_())], names=["token", "hot"]) for part in parts]
+        found = sorted((h, t) for b in simhash.repeated(batches) for t, h in zip(b["token"].to_pylist(), b["hot"].to_pylist(), strict=True))
+        assert [x for x in found if x[0]] == [x for x in rows if x[0]]
+        cold = [x for x in rows if not x[0]]
+        assert set(x for x in found if not x[0]) >= {x for x in cold if cold.count(x) > 1}
+        assert all(cold.count(x) > 1 or (True, x[1]) in rows for x in found if not x[0])
