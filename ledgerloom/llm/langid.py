@@ -47,7 +47,11 @@ def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     langs = slots.select("lang").distinct().count()
     each = max(1, size // max(1, langs))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = slots.withColumn("before", before).where(F.col("before") < each).groupBy("lang").agg(F.max("slot").alias("last"))
+    # first of the 256 ranges of slots, then of the slots of one range
+    ranges = slots.groupBy("lang", F.shiftright("slot", 8).alias("slot")).agg(F.sum("n").alias("n")).withColumn("before", before).where(F.col("before") < each)
+    ranges = ranges.groupBy("lang").agg(F.max(F.struct("slot", "before")).alias("r")).select("lang", F.col("r.slot").alias("range"), F.col("r.before").alias("below"))
+    inside = slots.join(ranges, "lang").where(F.shiftright("slot", 8) == F.col("range"))
+    last = inside.withColumn("before", before).where(F.col("before") + F.col("below") < each).groupBy("lang").agg(F.max("slot").alias("last"))
     near = may.join(F.broadcast(last) if langs <= BROADCAST_LANGS else last, "lang").where(slot <= F.col("last")).withColumn("task", F.spark_partition_id())
     for group in (["lang", "task"], ["lang"]):
         near = near.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("n") <= each)

@@ -45,6 +45,8 @@ TILE, SEED = 2048, 42
 SIMILAR = (4, 5)
 #: Bits of a hash by which its commonness is kept: a table of 1 MB.
 SLOTS = 20
+#: Sets that a task remembers to have given.
+RECENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -372,34 +374,45 @@ def prefix(h: np.ndarray, digits: np.ndarray) -> np.ndarray:
 def _shared(docs: DataFrame, width: int) -> DataFrame:
     """token, node, n, at: the shingles of each set's prefix that another set's prefix has, the set's size and the shingle's place.
 
-    Shingles of hot slots are dealt out by set instead of meeting in one task, and stay without being asked whether others
-    have them."""
+    A task gives a set once among ``RECENT`` different ones, so that copies are few; what is left of them meets in
+    ``repeated``.  Shingles of hot slots are dealt out by set instead of meeting in one task, and stay without being asked
+    whether others have them."""
     sent, names = _commonness(docs, width), ["token", "node", "n", "at", "hot"]
 
     def run(batches):
         digits, common = sent.value
+        seen: set[int] = set()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 h = shingle_set(text, width)
-                if len(h):
-                    p = prefix(h, digits)
-                    hot = common[(p >> np.uint64(64 - SLOTS)).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), _set_node(h))), pa.array(np.full(len(p), len(h), np.int32)), pa.array(np.arange(len(p), dtype=np.int32)), pa.array(hot)], names=names)
-
-    rows = map_batches(docs.select("text"), run, struct(token=LONG, node=LONG, n=INT, at=INT, hot=BOOL)).distinct()
-    dealt = rows.repartition(shuffle_width(docs.sparkSession), F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token")
+                node = _set_node(h)
+                if not len(h) or node in seen:
+                    continue
+                if len(seen) >= RECENT:
+                    seen.clear()
+                seen.add(node)
+                p = prefix(h, digits)
+                hot = common[(p >> np.uint64(64 - SLOTS)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), node)), pa.array(np.full(len(p), len(h), np.int32)), pa.array(np.arange(len(p), dtype=np.int32)), pa.array(hot)], names=names)
+
+    rows = map_batches(docs.select("text"), run, struct(token=LONG, node=LONG, n=INT, at=INT, hot=BOOL))
+    dealt = rows.repartition(shuffle_width(docs.sparkSession), F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token", "node")
     return map_batches(dealt, repeated, rows.schema).drop("hot")
 
 
 def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that are hot, or whose token the row before or after has too, of rows sorted by hot and token; one row is held from batch to batch."""
+    """Of rows sorted by hot, token and node, one each, those that are hot or whose token another node has too; one row is held from batch to batch.
+
+    A token is hot in all rows or in none."""
     held: tuple[pa.RecordBatch, bool] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        rows = pa.Table.from_batches([held[0], batch] if held else [batch])
+        again = [np.r_[False, c[1:] == c[:-1]] for c in (rows[k].to_numpy() for k in ("token", "node"))]
+        rows = rows.filter(pa.array(~(again[0] & again[1]))).combine_chunks()
         # the last row waits for the next; a row held knows whether the one before it was like it
-        rows = pa.Table.from_batches([held[0], batch] if held else [batch]).combine_chunks()
-        token, hot = rows["token"].to_numpy(), rows["hot"].to_numpy(zero_copy_only=False)
+        token, hot = rows["token"].to_numpy(), rows["hot"].to_numpy()
         same = token[1:] == token[:-1]
         keep = np.r_[held[1] if held else False, same] | np.r_[same, False] | hot
         yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()

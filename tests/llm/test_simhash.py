@@ -200,13 +200,13 @@ def test_repeated_tokens_over_edges_of_batches():
     import pyarrow as pa
 
     rng = random.Random(3)
-    for _ in range(60):
-        rows = sorted((rng.random() < 0.2, rng.randrange(12)) for _ in range(rng.randrange(0, 25)))
+    for _ in range(100):
+        rows = sorted((token > 6, token, rng.randrange(3)) for token in (rng.randrange(9) for _ in range(rng.randrange(0, 25))))
         cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(4))
         parts = [rows[i:j] for i, j in itertools.pairwise([0, *cuts, len(rows)])]
-        batches = [pa.RecordBatch.from_arrays([pa.array([t for _, t in part], pa.int64()), pa.array([h for h, _ in part], pa.bool_())], names=["token", "hot"]) for part in parts]
-        found = sorted((h, t) for b in simhash.repeated(batches) for t, h in zip(b["token"].to_pylist(), b["hot"].to_pylist(), strict=True))
-        assert [x for x in found if x[0]] == [x for x in rows if x[0]]
-        cold = [x for x in rows if not x[0]]
-        assert set(x for x in found if not x[0]) >= {x for x in cold if cold.count(x) > 1}
-        assert all(cold.count(x) > 1 or (True, x[1]) in rows for x in found if not x[0])
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.bool_(), pa.int64(), pa.int64()))], names=["hot", "token", "node"]) for part in parts]
+        found = [tuple(r.values()) for b in simhash.repeated(batches) for r in b.to_pylist()]
+        assert len(found) == len(set(found)) and set(found) <= set(rows)
+        once = set(rows)
+        needed = {r for r in once if r[0] or sum(x[:2] == r[:2] for x in once) > 1}
+        assert set(found) == needed
