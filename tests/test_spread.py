@@ -1,0 +1,42 @@
+"""Queries whose joins or aggregates came together in a few tasks, or held too much in one."""
+
+from ledgerloom.operators import joins
+from ledgerloom.plans import infer, rules
+from ledgerloom.plans.bands import bucketed
+from ledgerloom.queries import QUERIES
+
+
+def test_a_sketch_is_not_kept_for_each_distinct_value(spark, sf_dir):
+    plan = QUERIES["sql_approx_distinct"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert all("keys=[o_custkey" not in line for line in plan.splitlines() if "approx_count_distinct" in line)
+
+
+def _tables(spark):
+    left = spark.range(200).selectExpr("id AS a", "id % 2 AS n", "CAST(id % 50 AS DOUBLE) AS x")
+    return left, spark.range(100).selectExpr("id AS b", "id % 2 AS m", "CAST(id % 40 AS DOUBLE) AS y")
+
+
+def test_small_inputs_of_large_joins_keep_their_tasks(spark):
+    l, r = _tables(spark)  # noqa: E741
+    l.createOrReplaceTempView("spread_l")
+    r.createOrReplaceTempView("spread_r")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = bucketed(spark.sql("SELECT a, b FROM spread_l JOIN spread_r ON abs(x - y) <= 1"))
+    for found in (joins.order_join(l, r, "x", "y", "gt"), joins.tolerance_join(l, r, "x", "y", 1.0), near):
+        assert found.rdd.getNumPartitions() == tasks
+
+
+def test_one_to_many_makes_no_pairs_and_takes_the_least_key_of_equal_costs(spark, monkeypatch):
+    monkeypatch.delattr(rules, "match_rule")
+    l = spark.createDataFrame([(5, 1, 12.0), (3, 1, 8.0), (1, 1, 30.0), (0, 2, 10.0), (7, 1, None)], "a long, n int, x double")  # noqa: E741
+    r = spark.createDataFrame([(1, 1, 10.0), (2, 1, 25.0), (3, 1, 21.0), (4, 3, 10.0), (1, 1, 11.5)], "b long, m int, y double")
+    rule = rules.Rule("near", (rules.Condition("n", "eq", "m"), rules.Condition("x", "tolerance", "y", 6.0)), "1:N")
+    assert sorted(map(tuple, rules.match_pattern(l, r, rule, "a", "b").collect())) == [(1, 2, 5.0), (5, 1, 0.5)]
+
+
+def test_counts_of_a_preview_are_those_of_its_lists(spark):
+    l, r = _tables(spark)  # noqa: E741
+    l, r = l.unionAll(l.where("a < 5")).unionAll(spark.sql("SELECT 3L, 1L, 7D")), r.unionAll(spark.sql("SELECT 9L, 1L, 8D"))  # noqa: E741
+    conditions = [rules.Condition("n", "eq", "m"), rules.Condition("x", "tolerance", "y", 2.0)]
+    lists = infer.preview_match(l, r, "a", "b", conditions).selectExpr("left_key", "status", "CAST(size(right_keys) AS long) AS matches")
+    assert sorted(map(tuple, infer.preview_counts(l, r, "a", "b", conditions).collect())) == sorted(map(tuple, lists.collect()))
