@@ -66,3 +66,13 @@ def test_empty_sides_and_odd_columns(spark):
     assert [(x.id, x._row, x.m) for x in join_asof(l, r, "t", "t").collect()] == [(1, 6, {"b": 3})]
     assert [(x.id, x._row) for x in join_asof(l, r.limit(0), "t", "t").collect()] == [(1, None)]
     assert join_asof(l.limit(0), r, "t", "t").count() == 0
+
+
+def test_nearest_in_groups_is_the_nearest_as_of_join(spark):
+    from ledgerloom.operators.asof import nearest_in_groups
+
+    one = spark.range(300).selectExpr("CAST(id AS string) AS record_key", "CAST((id * 37) % 101 AS double) AS value", "IF(id % 19 = 0, NULL, id % 7) AS k")
+    two = spark.range(200).selectExpr("CAST(id AS string) AS record_key", "IF(id % 17 = 0, double('NaN'), CAST((id * 53) % 89 AS double)) AS value", "id % 6 AS k")
+    slow = join_asof(one, two, "value", "value", ["k"], "nearest", ties=["record_key"], how="inner").selectExpr("record_key", "record_key_right")
+    fast = nearest_in_groups(one, two, ["k"]).selectExpr("record_key", "best.record_key")
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
