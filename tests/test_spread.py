@@ -1,5 +1,7 @@
 """Queries whose joins or aggregates came together in a few tasks, or held too much in one."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import joins
 from ledgerloom.plans import infer, rules
 from ledgerloom.plans.bands import bucketed
@@ -40,3 +42,13 @@ def test_counts_of_a_preview_are_those_of_its_lists(spark):
     conditions = [rules.Condition("n", "eq", "m"), rules.Condition("x", "tolerance", "y", 2.0)]
     lists = infer.preview_match(l, r, "a", "b", conditions).selectExpr("left_key", "status", "CAST(size(right_keys) AS long) AS matches")
     assert sorted(map(tuple, infer.preview_counts(l, r, "a", "b", conditions).collect())) == sorted(map(tuple, lists.collect()))
+
+
+def test_the_pairs_of_few_keys_are_made_by_many_tasks(spark, sf_dir):
+    found = QUERIES["match_relative_signed"](spark, sf_dir)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    l, r = _tables(spark)  # noqa: E741
+    on = "l.n = r.m AND l.x < r.y"
+    crowded = joins.crowded_join(l, r, [("n", "m")], F.expr(on), 3)
+    assert sorted(map(tuple, crowded.collect())) == sorted(map(tuple, joins.execute_join(l, r, on).collect()))
+    assert joins.crowded_join(l.withColumn("n", F.lit(1)), r, [("n", "m")], F.expr(on), 50).select(F.spark_partition_id()).distinct().count() == 4
