@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.assign import enforce
+from ledgerloom.operators.assign import enforce, nearest_one_to_one
 from ledgerloom.operators.joins import order_join, unmatched_of, without_order
 from ledgerloom.plans import rules
 
@@ -91,3 +91,23 @@ def test_match_pattern(spark):
     rule = lambda p: rules.Rule("r", (rules.Condition("a", "tolerance", "b", 1.0),), p)
     got = lambda p: sorted((x.left_key, x.right_key) for x in rules.match_pattern(l, r, rule(p), "id", "rid").collect())
     assert got("1:1") == [(1, 8), (2, 7)] and got("1:N") == [(2, 7), (2, 8)] and got("M:1") == [(1, 7), (2, 7)]
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_one_to_one_by_position_makes_no_pairs(spark, monkeypatch, blocks):
+    """Equal positions, ties before and behind, values that only differ in rounding, nulls and NaN."""
+    monkeypatch.setattr(rules, "match_rule", None)
+    monkeypatch.setattr(rules, "nearest_one_to_one", lambda *a: nearest_one_to_one(*a, blocks))
+    rng = random.Random(3)
+    value = lambda: rng.choice([0.3, 0.1 + 0.2, 7.0, float("nan"), None, float(rng.randrange(40)), rng.random() * 40])
+    left, right = [(i, rng.choice(["a", "b", None]), value()) for i in range(150)], [(f"s{i}", rng.choice(["a", "b"]), value()) for i in range(60)]
+    rule = rules.Rule("near", (rules.Condition("k", "eq", "g"), rules.Condition("x", "tolerance", "y", 6.0)))
+    got = rules.match_pattern(spark.createDataFrame(left, "id int, k string, x double"), spark.createDataFrame(right, "rid string, g string, y double"), rule, "id", "rid")
+    pairs = [(i, j, abs(x - y)) for i, k, x in left for j, g, y in right if k == g and None not in (x, y) and abs(x - y) <= 6.0]
+    assert sorted(tuple(r) for r in got.collect()) == greedy(pairs, "1:1")
+
+
+def test_one_to_one_of_keys_with_several_rows(spark):
+    rule = rules.Rule("near", (rules.Condition("a", "tolerance", "b", 5.0),))
+    left, right = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 19.0)], "id int, a double"), spark.createDataFrame([(7, 20.5), (8, 11.0)], "rid int, b double")
+    assert sorted((r.left_key, r.right_key) for r in rules.match_pattern(left, right, rule, "id", "rid").collect()) == [(1, 7)]
