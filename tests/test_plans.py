@@ -317,3 +317,18 @@ def test_rules_need_three_confirmed_pairs(spark):
     assert infer.confirmed(spark.range(3)).count() == 3
     with pytest.raises(ValueError):
         infer.rules_from(spark.range(2), ["id"], ["id"])
+
+
+def test_rules_of_numbers_parse_no_texts(spark):
+    wide = spark.createDataFrame([(1, 2.0, "3"), (2, 3.5, "x"), (3, float("nan"), None)], "a long, b double, c string")
+    plan = infer.infer_rules(wide, ["a"], ["b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract") <= 2  # those of c alone
+
+
+def test_numbers_are_what_their_texts_say(spark):
+    doubles = [1.5, -0.0, 1e300, 4.9e-324, 1e-5, 123456789.125, float("inf"), float("-inf"), float("nan"), None, 0.1 + 0.2]
+    longs = [0, -1, 2**63 - 1, -(2**63), 2**53 + 1, None]
+    for kind, values in (("double", doubles), ("bigint", longs)):
+        df = spark.createDataFrame([(v,) for v in values], f"c {kind}").withColumn("t", F.col("c").cast("string"))
+        told = df.select(infer._number(df.schema["c"].dataType, "c", "t").alias("a"), infer.js_number("t").alias("b")).collect()
+        assert [str(r.a) for r in told] == [str(r.b) for r in told]
