@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.assign import enforce, nearest_one_to_one
 from ledgerloom.operators.joins import order_join, unmatched_of, without_order
 from ledgerloom.plans import rules
+from ledgerloom.queries import QUERIES
 
 OPS = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 
@@ -51,6 +52,13 @@ def test_order_rules_have_no_nested_loop(spark):
     assert not nested(matched) and matched.where("NOT (x > y AND k <= g)").count() == 0 and matched.count() > 0
 
 
+def test_the_order_query_reads_whole_tables(spark, sf_dir):
+    """Every balance counts, not the high ones only."""
+    balances = lambda name, column: [r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(column).collect()]
+    left, right = balances("customer", "c_acctbal"), balances("supplier", "s_acctbal")
+    assert QUERIES["match_order_only"](spark, sf_dir).count() == sum(a > b for a in left for b in right) > 0
+
+
 def test_unmatched_rows_with_any_type(spark):
     left = spark.createDataFrame([(1, {"a": 1, "b": 2}, [{"c": 1}], (1, {"d": 2})), (2, {"a": 1}, None, None), (3, None, [{}], (3, None))], "id int, m map<string,int>, n array<map<string,int>>, s struct<i:int,m:map<string,int>>")
     matched = left.where("id <> 2").alias("l").join(spark.range(1).alias("r"), F.lit(True))
