@@ -80,6 +80,13 @@ def test_scores_against_brute_force(spark, texts):
     assert got == plain_scores(files) and {"/f0", "/f1", "/f3", "/f5", "/d/LICENSE"} <= set(got) and "/f6" not in got
 
 
+def test_a_score_that_rounds_up_to_the_least(spark):
+    """0.59999962, of a unit so long that its weights differ by more than the score."""
+    files = [("/a/x.txt", "unlicense " * 251 + "zzz " * 112002)]
+    got = scan(spark, [(1, *files[0])])[0]
+    assert {"/a/x.txt": (got.license, got.score)} == plain_scores(files) == {"/a/x.txt": ("Unlicense", 0.6)}
+
+
 GPL = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
 # the Free Software Foundation, either version 3 of the License, or
