@@ -93,6 +93,16 @@ def test_what_a_stage_held_goes_and_no_more(spark):
     assert not os.path.exists(table.inputFiles()[0].removeprefix("file:"))
 
 
+def test_a_passing_table_goes_at_its_end(spark):
+    from ledgerloom.llm import common
+
+    since = common.held()
+    with common.passing(spark.range(3)) as table:
+        path = table.inputFiles()[0].removeprefix("file:")
+        assert table.count() == 3 and os.path.exists(path)
+    assert common.held() == since and not os.path.exists(path)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
