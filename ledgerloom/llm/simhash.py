@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.common import BIN, BOOL, INT, LONG, durable, free_name, map_batches, map_rows, release_memory, send, shuffle_width, struct, whole_keys
+from ledgerloom.llm.common import BOOL, INT, LONG, durable, free_name, map_batches, map_rows, passing, release_memory, send, shuffle_width, struct, tidy, whole_keys
 from ledgerloom.llm.graph import components
 
 TILE, SEED = 2048, 42
@@ -312,24 +312,32 @@ def _print_pairs(marked: DataFrame, setting: Setting) -> DataFrame:
     return _ordered(apart.unionByName(nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))))
 
 
-def _sets(hashed: DataFrame, rid: str, marked: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and its shingles' hashes, as bytes, of the nodes asked for."""
-    owners = durable(marked.groupBy("node").agg(F.min("rid").alias(rid)).join(nodes.distinct(), "node", "left_semi"))
-    texts = bloom.rows_where(hashed.select("text", rid), rid, bloom.build(owners, rid)).join(owners, rid).select("text", "node")
-    read = map_rows(texts, lambda it: ((node, shingle_set(text, width).tobytes()) for text, node in it), struct(node=LONG, shingles=BIN))
-    return durable(read.dropDuplicates(["node"]))
+def _texts(hashed: DataFrame, rid: str, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and a text that has its set, of the nodes of the pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = durable(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("rid").alias(rid)))
+    texts = bloom.rows_where(hashed.select("text", rid), rid, bloom.build(owners, rid)).join(owners, rid)
+    return texts.select("node", "text").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets agree by SIMILAR: 5 |A and B| >= 4 |A or B|."""
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, hashed: DataFrame, rid: str, marked: DataFrame, width: int) -> DataFrame:
+    """The pairs a, b, a checkpoint, whose sets agree by SIMILAR: 5 |A and B| >= 4 |A or B|.
+
+    Only the texts of the pairs meet, and not their shingles' hashes, which take more room."""
 
     def run(batches):
+        of, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            near = [agree(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            near = []
+            for a, s, t in zip(*(batch[c].to_pylist() for c in ("a", "x", "y")), strict=True):
+                if a != of:
+                    of, x = a, shingle_set(s, width)
+                near.append(agree(x, shingle_set(t, width)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return map_batches(met, run, struct(a=LONG, b=LONG))
+    with passing(_texts(hashed, rid, marked, pairs)) as texts:
+        met = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return durable(map_batches(met, run, struct(a=LONG, b=LONG)))
 
 
 def agree(x: np.ndarray, y: np.ndarray) -> bool:
@@ -437,8 +445,7 @@ def near_sets(hashed: DataFrame, rid: str, marked: DataFrame, setting: Setting)
     so that a large class that is in parts is whole before all pairs are tried."""
     tried = durable(_print_pairs(marked, setting))
     shared = durable(_shared(hashed, setting.width))
-    sets = _sets(hashed, rid, marked, tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")), setting.width)
-    near = durable(verified(tried, sets))
+    near = verified(tried, hashed, rid, marked, setting.width)
     for every in (False, True):
         linked = components(near)
         rooted = shared.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -456,7 +463,7 @@ def near_sets(hashed: DataFrame, rid: str, marked: DataFrame, setting: Setting)
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _may_agree("x", "y"))
         fresh = durable(_ordered(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        near = durable(near.unionByName(verified(fresh, sets)))
+        near = near.unionByName(verified(fresh, hashed, rid, marked, setting.width))
     return components(near)
 
 
@@ -465,6 +472,7 @@ def keep_one(docs: DataFrame, setting: Setting = WIDE) -> DataFrame:
 
     Decisions are made on hashes of doc_id and text; rows that stay for certain, being in no Bloom filter of the others,
     are passed on where they lie."""
+    tidy(docs.sparkSession)
     rid = free_name("row_hash", docs.columns)
     hashed = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
     marked = durable(_set_rows(hashed, ["doc_id", rid], setting).withColumnRenamed(rid, "rid"))

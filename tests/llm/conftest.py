@@ -1,4 +1,7 @@
+import gc
+import os
 import random
+import time
 
 import pytest
 
@@ -33,3 +36,22 @@ def docs(spark, sf_dir):
 @pytest.fixture(scope="session")
 def texts(docs):
     return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture
+def shuffle_files_of(spark):
+    """What a function returns, and the shuffle files that it wrote and that stay for 20 seconds, though nothing is collected as garbage here."""
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    def run(f):
+        gc.disable()
+        try:
+            before, out, end = files(), f(), time.monotonic() + 20
+            while (stayed := files() - before) and time.monotonic() < end:
+                time.sleep(0.2)
+            return out, stayed
+        finally:
+            gc.enable()
+
+    return run

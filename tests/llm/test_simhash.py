@@ -210,3 +210,15 @@ def test_repeated_tokens_over_edges_of_batches():
         once = set(rows)
         needed = {r for r in once if r[0] or sum(x[:2] == r[:2] for x in once) > 1}
         assert set(found) == needed
+
+
+def test_only_texts_of_pairs_meet_and_no_shuffle_files_stay(spark, monkeypatch, shuffle_files_of):
+    """A phrase that all have makes all sets share shingles; one pair agrees."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, f"a phrase that all of them have {words(k)}") for k in range(30)]
+    rows.append((30, rows[7][1] + " more"))
+    asked, texts = [], simhash._texts
+    monkeypatch.setattr(simhash, "_texts", lambda *a: (asked.append(out := texts(*a)), out)[1])
+    kept, stayed = shuffle_files_of(lambda: simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30)) and not stayed
+    assert 2 <= max(t.count() for t in asked) < len(rows)
